@@ -9,8 +9,9 @@ go is a table of counts by length, of at most ``capacity`` rows whatever the cor
    pieces of each size share a sequence) is solved by column generation, and rounded
    down; what is left over joins the sequences best-fit.
 3. Actual pieces take the places of the rounded ones by their rank within their length,
-   which leaves more room than planned.
-4. Small pieces, longest first, go best-fit into what room there is, then to new sequences.
+   all but the shortest of each configuration. They leave more room than planned.
+4. The shortest and the small pieces, longest first, go best-fit into what room there is,
+   then to new sequences.
 
 Ranks within a length are counted per task and summed over tasks, so no group is gathered.
 """
@@ -31,7 +32,7 @@ from skarn.llm.bpe import encoder
 from skarn.llm.shared import written
 
 #: Lengths over this part of the capacity are large; groups that they are rounded in.
-LARGE_PART, GROUPS = 1 / 8, 96
+LARGE_PART, GROUPS = 1 / 3, 96
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,8 +167,9 @@ class Plan:
         sizes = sorted(merged, reverse=True)
         for column, times in configurations(sizes, [sum(n for _, n in merged[s]) for s in sizes], capacity):
             runs = [(self.new(times), times, capacity)]
-            for i in np.flatnonzero(column):
-                for _ in range(column[i]):  # one place of this size in each sequence of the run
+            used = np.flatnonzero(column)
+            for i in used:
+                for _ in range(column[i] - (i == used[-1] and column.sum() > 1)):  # the shortest stays out, for the best fit  # one place of this size in each sequence of the run
                     after = []
                     for first, n, room in runs:
                         while n:
