@@ -69,7 +69,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) of the four kinds, by kind and start; a match that fails its check is dropped, not retried."""
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p := p.lstrip("0")) <= 3 and int(p or 0) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
             out.append(("card", *m.span()))
