@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -12,13 +13,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+@functools.cache
+def _own_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="skarn-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is configured."""
+    """The cluster's shared folder; one of our own, for as long as the application runs, only where none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="skarn-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return (base or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -26,6 +29,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skarn/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its store's name, for libraries other than Spark."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jvm).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends there."""
     path = new_path(df.sparkSession, name)

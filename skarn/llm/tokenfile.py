@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.llm.bpe import encoder
-from skarn.llm.shared import new_path, written
+from skarn.llm.shared import new_path, qualified, written
 
 #: Ids of a row, rows of a batch, ids after which a task begins another file.
 ROW, BATCH_ROWS, FILE_IDS = 2048, 256, 64_000_000
@@ -85,7 +85,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_
     their names. An empty table writes no file.
     """
     spark = docs.sparkSession
-    base = to or new_path(spark, "token-files")
+    base = qualified(spark, to or new_path(spark, "token-files"))
     id_type = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import IntegerType, LongType, StringType, StructType
