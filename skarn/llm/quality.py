@@ -97,3 +97,13 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     drop = [c for c in ("base_failed", "kept") if c in docs.columns]
     return measured(docs.drop(*drop), id_col, text_col).withColumn("base_failed", failed).withColumn("kept", ~failed & compile_rules(rules))
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+    """The rows of ``docs`` that :func:`judged` keeps, with their columns.
+
+    The row number holds the filter above the projection: pushed into it, the verdict
+    would be worked out again for every use of a metric.
+    """
+    own = judged(docs.withColumn("_own", F.struct(*docs.columns)), id_col, text_col, rules).select("_own", "kept", F.monotonically_increasing_id().alias("_row"))
+    return own.where(F.col("kept") & (F.col("_row") >= 0)).select("_own.*")

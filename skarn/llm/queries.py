@@ -111,7 +111,19 @@ def _stop_list() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    nl = "chr(13) || chr(10)"
     return {
+        "op2_merkle_audit": f"""
+WITH p AS (SELECT page_id, page_id // 4096 AS archive, coalesce(url, '') AS u, coalesce(html, '') AS h FROM pages),
+d AS (SELECT archive, page_id, u, 'WARC/1.1' || {nl} || 'WARC-Type: resource' || {nl} || 'WARC-Target-URI: ' || u || {nl}
+             || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {nl} || 'Content-Type: text/html' || {nl}
+             || 'Content-Length: ' || strlen(h) || {nl} || {nl} || h || {nl} || {nl} AS data FROM p),
+o AS (SELECT archive, page_id, data, row_number() OVER w - 1 AS record_no,
+             coalesce(sum(strlen(data)) OVER (PARTITION BY archive ORDER BY page_id, u, data ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+      FROM d WINDOW w AS (PARTITION BY archive ORDER BY page_id, u, data))
+SELECT archive, CAST(record_no AS BIGINT) AS record_no, CAST(place AS BIGINT) AS "offset", CAST(strlen(data) AS BIGINT) AS length, page_id,
+       sha256(data) AS expected_sha256, CASE WHEN page_id % 211 = 5 THEN NULL ELSE sha256('X' || substr(data, 2)) END AS actual_sha256
+FROM o WHERE page_id % 97 = 13 OR page_id % 211 = 5""",
         "op4_radix_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, CAST(count(*) OVER w AS BIGINT) AS group_size,

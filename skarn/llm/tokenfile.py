@@ -146,7 +146,8 @@ def read_documents(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
                         at += len(ids)
                 yield pa.RecordBatch.from_arrays([index.column("key").combine_chunks(), pa.array(starts + f["base"]), pa.array(counts), pa.array(crcs)], schema.names)
 
-    return files.select("dir", "name", "key", "base").repartition(F.col("name")).mapInArrow(batches, schema)
+    # A number of parts of our own: the table is small, and what lies behind its rows is not.
+    return files.select("dir", "name", "key", "base").repartition(max(1, files.count()), "name").mapInArrow(batches, schema)
 
 
 def sequences(files: DataFrame) -> DataFrame:
