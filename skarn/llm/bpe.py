@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once, and chunks remembered per generation (two are kept).
-SLICE_BYTES, REMEMBERED = 8_000_000, 400_000
+SLICE_BYTES, REMEMBERED = 4_000_000, 150_000
 
 # Texts of these characters only are NFC-stable, lower-case character by character, and
 # split alike by Python and by the tokenizer; all others take the library's own steps.
@@ -146,6 +146,8 @@ class ForcedBoundaryBPE:
                     gc.enable()
             yield first, after, ids, offsets
             first = after
+            del ids, offsets
+            pa.default_memory_pool().release_unused()
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.match_substring_regex(texts, _OTHER)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.shared import sized_join, written
+from skarn.llm.shared import sized_join, small_batches, trim, written
 
 WORDS, THRESHOLD = 5, 0.8
 #: MinHash values are BANDS * ROWS; a pair at the threshold meets in no band with probability (1 - 0.8 ** 5) ** 32 < 3e-6.
@@ -113,6 +113,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
                     names.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist() if len(s) else (None, None))
                     hashes.append(min_hashes(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)), pa.array(hashes, pa.binary())], ["doc", "set_a", "set_b", "hashes"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(batches, "doc long, set_a long, set_b long, hashes binary")
 
@@ -316,6 +317,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are told apart as copies only by their sets. Other columns are left out, whatever
     their names; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     marked = written(signatures(docs, id_col, text_col, n), "signatures")
     some = marked.where("set_a is not null")
     sets = written(some.groupBy("set_a", "set_b").agg(F.min("doc").alias("rep"), F.count("*").alias("weight"), F.first("hashes").alias("hashes")), "sets")

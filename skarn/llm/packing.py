@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.llm.bpe import encoder
-from skarn.llm.shared import written
+from skarn.llm.shared import small_batches, trim, written
 
 #: Lengths over this part of the capacity are large; groups that they are rounded in.
 LARGE_PART, GROUPS = 1 / 3, 96
@@ -62,6 +62,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col:
                     [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(row), pa.int32()), pa.array(rank, pa.int64())],
                     schema.names,
                 )
+        trim()
 
     return docs.select(id_col, text_col).mapInArrow(batches, schema)
 
@@ -220,6 +221,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
     on its own; other columns are left out, whatever their names; an empty table gives none.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = written(pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
     per_task = own.groupBy("length", "task").agg(F.count("*").alias("n"))
     counts = {int(r.length): int(r.n) for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.shared import sized_join, written
+from skarn.llm.shared import sized_join, small_batches, trim, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side that count as near; share of an entity's information a term may give away; different surroundings and characters a term needs.
 AROUND, ALPHA, LEAST_CONTEXTS, LEAST_CHARS = 5, 1.25, 3, 3
 #: Distinct words whose document counts a task holds before it passes them on.
-HELD_WORDS = 400_000
+HELD_WORDS = 120_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")  # a run of digits either matches from its first one or not at all
@@ -157,6 +157,8 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if near["row_id"]:
                 yield rows(1, near)
         yield from counted(held)
+        held.clear()
+        trim()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     schema = ", ".join(f"{c} {t}" for c, (t, _) in kinds.items())
@@ -168,6 +170,7 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
 
     ``terms``: array of (start, end), by start.
     """
+    small_batches(docs.sparkSession)
     all_rows = written(scanned(docs, id_col, text_col), "sanitise")
     base = all_rows.where("tag = 0")
     near = all_rows.where("tag = 1")
@@ -232,5 +235,6 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             new = [None if t is None else replaced(t, [(x["start"], x["end"]) for x in own or ()]) for t, own in zip(texts, terms, strict=True)]
             columns = [pa.array(new, pa.string()) if k == place else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
+        trim()
 
     return joined.select(*docs.columns, "_terms").mapInArrow(batches, docs.schema)

@@ -49,6 +49,21 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
-def digest_column(*cols) -> F.Column:
-    """128 bits of identity for grouping: two independent 64-bit hashes."""
-    return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(7), *cols).alias("b"))
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Bounds the rows that go to Python workers at once: texts are long, and both sides hold a batch in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
+def trim() -> None:
+    """Gives memory that a task has freed back to the machine; workers outlive their tasks."""
+    import ctypes
+    import ctypes.util
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(ctypes.util.find_library("c") or None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

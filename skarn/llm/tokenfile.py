@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.llm.bpe import encoder
-from skarn.llm.shared import new_path, qualified, written
+from skarn.llm.shared import new_path, qualified, small_batches, trim, written
 
 #: Ids of a row, rows of a batch, ids after which a task begins another file.
 ROW, BATCH_ROWS, FILE_IDS = 2048, 256, 64_000_000
@@ -85,6 +85,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_
     their names. An empty table writes no file.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = qualified(spark, to or new_path(spark, "token-files"))
     id_type = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
@@ -108,6 +109,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_
                     writer = None
         if writer:
             made.append(writer.close())
+        trim()
         if made:
             name, key, count, total = zip(*made, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([base] * len(made)), pa.array(name), pa.array(key, arrow_id), pa.array(count, pa.int32()), pa.array(total, pa.int64())], schema.names)

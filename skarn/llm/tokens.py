@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.bpe import encoder
+from skarn.llm.shared import small_batches
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,6 +28,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype("i4")))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, after - first), lists], [id_col, "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(batches, schema.add("ids", "array<int>"))
 
 
@@ -50,4 +52,5 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                     decoded.append(hashlib.sha256(coder.decode(own).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], schema.names)
 
+    small_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(batches, schema)
