@@ -1,0 +1,370 @@
+"""Operators on small tables against brute force, the tokenizers library and round trips; edge cases of each."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, kept string, rank string, task string, length string"
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(VOCABULARY)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Copies, near copies, shared passages, odd characters, personal data, a null, empty and very long texts."""
+    r = random.Random(11)
+    words = ["the", "of", "and", *("".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(400))]
+    make = lambda n: " ".join(r.choices(words, k=n))
+    passage = make(30)
+    long = make(9000)
+    out = [make(80), make(60) + ". " + passage, passage + "\n" + make(70), "", None, "Ok", long, long.replace("the", "die", 1), "ÀÉ ß İstanbul Σας <|endoftext|> x", "   ", "日本語 and ½ é"]
+    out += [out[0], out[0].upper(), out[0].replace("of", "off", 1), make(50) + "\n" + "same line here\n" * 20]
+    for i in range(6):
+        out.append(f"{make(40)} write to Zorbax.vim and mail jo.{'x' * (i % 2)}do@ex-ample.org or 10.0.0.{i} +1 (555) 010-99{i}0 4111 1111 1111 1111 end {make(10)}")
+    out += [f"{make(20)}" for _ in range(10)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en" if i % 3 else None, f"s{i % 2}", len(t or ""), "x", None, "r", "t", "l") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_bpe_equals_library(docs, texts, library, nothing):
+    from skarn.llm.tokens import encode, encode_decode
+
+    got = by_id(encode_decode(docs, VOCABULARY))
+    ids = by_id(encode(docs, VOCABULARY))
+    for i, t in enumerate(texts):
+        want = library.encode(t or "", add_special_tokens=False).ids
+        assert list(ids[i].ids) == want
+        assert got[i].n_tokens == len(want)
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
+    assert encode_decode(nothing, VOCABULARY).count() == 0
+
+
+def test_forced_boundaries_are_certain():
+    from skarn.llm.bpe import encoder
+
+    coder = encoder(VOCABULARY)
+    for word in ("unbelievably", "zzzqqq", "xqz", "a"):
+        parts = coder.fragments(word)
+        assert "".join(parts) == word
+        assert all((a[-1], b[0]) not in coder.inside for a, b in zip(parts, parts[1:]))
+
+
+def test_packing(docs, texts, library, nothing):
+    from skarn.llm.packing import pack
+
+    own = pack(docs, VOCABULARY, capacity=128).collect()
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        mine = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in own if r.doc_id == i)
+        assert mine == [(k, a, len(ids[a : a + 128]), zlib.crc32(ids[a : a + 128].tobytes())) for k, a in enumerate(range(0, len(ids), 128))]
+    by_sequence = {}
+    for r in own:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 128
+    assert pack(nothing, VOCABULARY).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_is_whole_and_tight(seed):
+    from collections import Counter
+
+    from skarn.llm.packing import Plan
+
+    r = random.Random(seed)
+    lengths = [r.choice([r.randint(1, 2048), r.randint(1, 300), 2048, 700]) for _ in range(r.choice([1, 30, 3000]))]
+    plan = Plan(dict(Counter(lengths)), 2048)
+    fill, given = Counter(), Counter()
+    for length, first, n, sequence, per in plan.rows:
+        assert first == given[length]
+        given[length] += n
+        for k in range(n):
+            fill[sequence + k // per] += length
+    assert given == Counter(lengths)
+    assert max(fill.values()) <= 2048 and len(fill) <= plan.sequences
+    rooms = []  # plain best fit decreasing
+    for x in sorted(lengths, reverse=True):
+        fits = [k for k, room in enumerate(rooms) if room >= x]
+        if fits:
+            rooms[min(fits, key=rooms.__getitem__)] -= x
+        else:
+            rooms.append(2048 - x)
+    assert len(fill) <= math.ceil(1.02 * len(rooms)) + 1
+
+
+def test_exact_dedup(spark, docs, texts, nothing):
+    from skarn.llm.radix_dedup import drop_duplicates, exact_dedup
+
+    fold = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "")
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(fold(t), []).append(i)
+    got = by_id(exact_dedup(docs))
+    for t, members in groups.items():
+        for i in members:
+            assert (got[i].keep_id, got[i].group_size, got[i].kept) == (max(members), len(members), i == max(members))
+            assert got[i].text_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    assert sorted(r.doc_id for r in drop_duplicates(docs).collect()) == sorted(max(m) for m in groups.values())
+    assert exact_dedup(nothing).count() == 0
+    # Long texts that part late, repeated rows, null ids.
+    long = "x" * 5000
+    odd = spark.createDataFrame([(1, long + "a"), (2, long + "b"), (3, long + "A"), (3, long + "A"), (None, "q"), (7, "Q")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.keep_id, r.group_size) for r in exact_dedup(odd).collect()) == [("1", 3, 3), ("2", 2, 1), ("3", 3, 3), ("3", 3, 3), ("7", 7, 2), ("None", 7, 2)]
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return set(zip(*[words[k:] for k in range(5)], strict=False)) or ({tuple(words)} if words else set())
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_jaccard_join(docs, texts, nothing, block):
+    from skarn.llm.jaccard import near_duplicates
+
+    own = [shingles(t) for t in texts]
+    n = len(own)
+    linked = [[j for j in range(n) if j != i and own[i] and own[j] and len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])] for i in range(n)]
+    root = list(range(n))
+    for _ in range(n):
+        for i in range(n):
+            root[i] = min([root[i], *(root[j] for j in linked[i])])
+    got = by_id(near_duplicates(docs, block=block))
+    assert {i: (r.class_id, r.n_links) for i, r in got.items()} == {i: (root[i], len(linked[i])) for i in range(n)}
+    if block == 256:
+        assert near_duplicates(nothing).count() == 0
+
+
+def test_large_near_copy_group(spark):
+    from skarn.llm.jaccard import near_duplicates
+
+    r = random.Random(2)
+    base = ["".join(r.choices("abcdef", k=5)) for _ in range(120)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        own[r.randrange(120)] = f"edit{i}"
+        rows.append((i, " ".join(own)))
+    sets = [shingles(t) for _, t in rows]
+    want = {i: sum(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(60)) for i in range(60)}
+    got = by_id(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16))
+    assert {i: x.n_links for i, x in got.items()} == want
+    assert {x.class_id for x in got.values()} == {0}
+
+
+def test_pruning_keeps_what_may_reach_the_threshold():
+    from skarn.llm.jaccard import least_matches
+
+    least = least_matches(0.8, 1e-6)
+    assert all(least[n] < 0.8 * n for n in least) and least[160] > 90
+
+
+def test_quality_metrics(docs, texts, nothing):
+    from skarn.llm.quality import judged, kept_rows
+
+    got = by_id(judged(docs))
+    for i, t in enumerate(texts):
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        places = {k + d for k, w in enumerate(windows) if windows.count(w) > 1 for d in range(3)} if len(windows) < 2000 else None
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)))
+        assert r.n_dup_lines == len(lines) - len(set(lines))
+        if places is not None:
+            assert r.n_repeat_words == len(places)
+        assert r.base_failed == (len(words) < 50 or 100 * r.n_repeat_words > 50 * len(words))
+    assert sorted(r.doc_id for r in kept_rows(docs).collect()) == sorted(i for i, r in got.items() if r.kept)
+    assert judged(nothing).count() == 0
+
+
+def test_token_files(docs, texts, library, nothing):
+    from skarn.llm.tokenfile import read_documents, sequences, write
+
+    files = write(docs, VOCABULARY, row=64)
+    got = by_id(read_documents(files))
+    at, whole = 0, []
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+        whole += ids.tolist()
+    order = {r.name: r.base for r in files.collect()}
+    rows = sorted(sequences(files).collect(), key=lambda r: (order[r.name], r.row))
+    assert all(len(r.ids) == 64 == len(r.mask) for r in rows)
+    assert [x for r in rows for x, m in zip(r.ids, r.mask, strict=True) if m] == whole
+    assert read_documents(write(nothing, VOCABULARY)).count() == 0
+
+
+def test_language_model_is_exact():
+    from skarn.llm.langid import build, score_bytes
+
+    data = b"abracadabra abracadabra abracadabra " * 20
+    raw = np.frombuffer(b"\0" * 3 + data, np.uint8).astype(np.int64)
+    code = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
+    grams, counts = np.unique(code, return_counts=True)
+    model = build(["x"] * len(grams), grams, counts)
+    mass = np.exp2(-model.bits[:, :, 0].astype(float))
+    weight = np.where(np.arange(mass.shape[1]) == 0, 256 - (mass.shape[1] - 1), 1)
+    assert np.allclose((mass * weight).sum(1), 1, atol=1e-3)  # code lengths of all 256 bytes fill the code space
+    two = np.frombuffer(b"\0\0\0cadab\0\0\0zzq", np.uint8)
+    both = score_bytes(model, two, np.array([0, 8]))
+    alone = [score_bytes(model, np.frombuffer(b"\0\0\0" + t, np.uint8), np.array([0]))[0] for t in (b"cadab", b"zzq")]
+    assert np.allclose(both[:, 0], [a[0] for a in alone])
+
+
+def test_language_id(spark, nothing):
+    from skarn.llm.langid import predict, train
+
+    r = random.Random(4)
+    syllables = {"aa": ["ba", "ka", "ma", "ra"], "bb": ["öl", "iz", "enk", "uss"]}
+    make = lambda lang, n: " ".join("".join(r.choices(syllables[lang], k=3)) for _ in range(n))
+    rows = [(i, make(lang, 40), lang) for i, lang in enumerate(["aa", "bb"] * 30)]
+    model = train(spark.createDataFrame([*rows, (90, None, "aa"), (91, "x", None)], "doc_id long, text string, lang string"))
+    tests = [(i, make(lang, 5), lang) for i, lang in enumerate(["bb", "aa"] * 20)] + [(100, None, None), (101, "", None), (102, "12 ..", None), (103, "\0\0", None)]
+    got = by_id(predict(spark.createDataFrame(tests, "doc_id long, text string, lang_pred string"), model))
+    for i, _, lang in tests:
+        assert got[i].lang_pred == (lang or "und") and 0 <= got[i].score <= 1
+    empty = train(nothing)
+    assert by_id(predict(spark.createDataFrame(tests[:1], "doc_id long, text string, z string"), empty))[0].lang_pred == "und"
+
+
+@pytest.mark.parametrize("most", [2, 20_000])
+def test_suffix_dedup(docs, texts, nothing, most):
+    from skarn.llm.suffix import remove_repeats
+
+    got = by_id(remove_repeats(docs, most_rows=most))
+    seen = {}
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        cover = np.zeros(len(b) + 1, int)
+        own = {b[k : k + 50] for k in range(len(b) - 49)}
+        for k in range(len(b) - 49):
+            if seen.get(b[k : k + 50], i) < i:
+                cover[k : k + 50] = 1
+        for w in own:
+            seen.setdefault(w, i)
+        kept = bytes(c for c, m in zip(b, cover, strict=False) if not m)
+        want = (len(b), len(b) - len(kept), int((np.diff(np.concatenate([[0], cover])) == 1).sum()), hashlib.sha256(kept).hexdigest())
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want, i
+    if most > 2:
+        assert remove_repeats(nothing).count() == 0
+
+
+def test_deep_shallow_sort():
+    from skarn.llm.suffix import LENGTH, sorted_suffixes
+
+    r = np.random.default_rng(1)
+    data = r.integers(97, 99, (600, LENGTH)).astype(np.uint8)
+    data[:, :40] = 97  # long common prefixes
+    data[300:] = data[:300]
+    segment = np.arange(600) % 3
+    order, leaf = sorted_suffixes(data, segment)
+    keys = [(segment[k], data[k].tobytes()) for k in order]
+    assert keys == sorted(keys)
+    assert all((leaf[i] == leaf[i - 1]) == (keys[i] == keys[i - 1]) for i in range(1, 600))
+
+
+def test_base_spans_equal_patterns():
+    from skarn.llm.pii import base_spans, emails, luhn
+
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    r = random.Random(9)
+    for _ in range(3000):
+        t = "".join(r.choices("a.@-+ b1", k=r.randint(0, 24)))
+        assert emails(t) == [m.span() for m in pattern.finditer(t)]
+    assert luhn("4111111111111111") and not luhn("4111111111111112")
+    text = "x 256.1.1.1 010.2.3.4 1.2.3.4.5 +1 (555) 010-9999 +12 4111-1111 1111 1111 5"
+    assert [(k, text[a:b]) for k, a, b in base_spans(text)] == [("ip", "010.2.3.4"), ("ip", "1.2.3.4"), ("phone", "+1 (555) 010-9999")]
+    assert base_spans("1" * 200_000) == []
+
+
+def test_sanitise(docs, texts, nothing):
+    from skarn.llm.pii import base_spans, find, sanitise, shown
+
+    got = by_id(find(docs))
+    for i, t in enumerate(texts):
+        base = shown(base_spans(t or ""))
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert got[i].spans.startswith(base)
+    named = [i for i, t in enumerate(texts) if "Zorbax" in (t or "")]
+    assert named and all("term" in got[i].spans for i in named)  # the same rare words near the same card in different surroundings
+    assert all(got[i].spans == "" for i, t in enumerate(texts) if not base_spans(t or ""))
+    clean = by_id(sanitise(docs))
+    assert set(clean) == set(range(len(texts))) and clean[4].text is None
+    assert all("Zorbax" not in clean[i].text and "[CARD]" in clean[i].text and "4111" not in clean[i].text for i in named)
+    assert all(clean[i].text == t for i, t in enumerate(texts) if not base_spans(t or ""))
+    assert find(nothing).count() == 0 and sanitise(nothing).count() == 0
+
+
+def test_merkle_audit(spark):
+    from skarn.llm.warc import audit, records
+
+    rows = [(i, f"http://x/{i}", f"<p>{i}</p>") for i in range(300)] + [(None, "u", None), (5, None, "again")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    original = records(pages, archive_ids=128)
+    assert audit(original, original).count() == 0
+    hurt = original.withColumn("data", F.when(F.col("page_id") == 77, F.lit(b"zz")).otherwise(F.col("data"))).where("page_id is null or page_id <> 130")
+    found = {r.page_id: (r.archive, r.expected_sha256 is None, r.actual_sha256 is None) for r in audit(original, hurt).collect()}
+    assert found == {77: (0, False, False), 130: (1, False, True)}
+    empty = records(pages.limit(0))
+    assert audit(empty, empty).count() == 0
+    at = 0
+    for r in original.where("archive = 1").orderBy("record_no").collect():
+        assert r.offset == at and len(r.data) == r.length and bytes(r.data).startswith(b"WARC/1.1\r\n")
+        at += r.length
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+    from skarn.llm.jaccard import near_duplicates
+    from skarn.llm.pii import sanitise
+    from skarn.llm.quality import judged
+    from skarn.llm.radix_dedup import exact_dedup
+
+    r = random.Random(8)
+    words = ["the", "of", "and", *("".join(r.choices("abcdefghij", k=5)) for _ in range(500))]
+    texts = [" ".join(r.choices(words, k=90)) + " the of and the of" for _ in range(20)]
+    texts += [texts[0], texts[1].upper().lower(), texts[2].replace("the", "a", 1), "short", None, texts[3] + " me@x.org"]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = docs.join(judged(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+    kept = kept.join(exact_dedup(kept).where("kept").select("doc_id"), "doc_id", "left_semi")
+    kept = kept.join(near_duplicates(kept).where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
+    assert {x.doc_id for x in out} == {x.doc_id for x in sanitise(kept).collect()}
+    assert {x.doc_id for x in out} >= set(range(4, 20)) and not {22, 23, 24} & {x.doc_id for x in out}
