@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once, and chunks remembered per generation (two are kept).
-SLICE_BYTES, REMEMBERED = 4_000_000, 150_000
+SLICE_BYTES, REMEMBERED = 4_000_000, 300_000
 
 # Texts of these characters only are NFC-stable, lower-case character by character, and
 # split alike by Python and by the tokenizer; all others take the library's own steps.

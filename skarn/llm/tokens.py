@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from skarn.llm.bpe import encoder
 from skarn.llm.shared import small_batches
@@ -29,7 +30,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, after - first), lists], [id_col, "ids"])
 
     small_batches(docs.sparkSession)
-    return docs.select(id_col, text_col).mapInArrow(batches, schema.add("ids", "array<int>"))
+    return docs.select(id_col, text_col).mapInArrow(batches, schema.add("ids", ArrayType(IntegerType())))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

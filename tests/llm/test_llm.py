@@ -34,7 +34,7 @@ def texts():
     out = [make(80), make(60) + ". " + passage, passage + "\n" + make(70), "", None, "Ok", long, long.replace("the", "die", 1), "ÀÉ ß İstanbul Σας <|endoftext|> x", "   ", "日本語 and ½ é"]
     out += [out[0], out[0].upper(), out[0].replace("of", "off", 1), make(50) + "\n" + "same line here\n" * 20]
     for i in range(6):
-        out.append(f"{make(40)} write to Zorbax.vim and mail jo.{'x' * (i % 2)}do@ex-ample.org or 10.0.0.{i} +1 (555) 010-99{i}0 4111 1111 1111 1111 end {make(10)}")
+        out.append(f"{make(40)} write to Zorbax.vim and mail jo.do@ex-ample.org or 10.0.0.{i} +1 (555) 010-99{i}0 or card 4111 1111 1111 1111 end {make(10)}")
     out += [f"{make(20)}" for _ in range(10)]
     return out
 
@@ -321,7 +321,7 @@ def test_sanitise(docs, texts, nothing):
         assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert got[i].spans.startswith(base)
     named = [i for i, t in enumerate(texts) if "Zorbax" in (t or "")]
-    assert named and all("term" in got[i].spans for i in named)  # the same rare words near the same card in different surroundings
+    assert named and all("term" in got[i].spans for i in named)  # a rare word near one address in different surroundings, and nowhere else
     assert all(got[i].spans == "" for i, t in enumerate(texts) if not base_spans(t or ""))
     clean = by_id(sanitise(docs))
     assert set(clean) == set(range(len(texts))) and clean[4].text is None
