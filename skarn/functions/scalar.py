@@ -66,7 +66,7 @@ def byte_ordered(number: Column) -> Column:
     # A double's bits as text: from its order among all doubles, sign first.
     size = F.abs(number)
     power = F.when(size > 0, F.floor(F.log2(size))).otherwise(F.lit(-1023))
-    power = F.when(F.pow(F.lit(2.0), power) > size, power - 1).when(F.pow(F.lit(2.0), power + 1) <= size, power + 1).otherwise(power)
+    power = F.when(size == 0, power).when(F.pow(F.lit(2.0), power) > size, power - 1).when(F.pow(F.lit(2.0), power + 1) <= size, power + 1).otherwise(power)
     part = F.when(size > 0, ((size / F.pow(F.lit(2.0), power) - 1) * F.lit(float(1 << 52))).cast("long")).otherwise(F.lit(0))
     bits = F.shiftleft((power + 1023).cast("long"), 52).bitwiseOR(part)
     return F.when(number < 0, F.lpad(F.hex(F.bitwise_not(bits.bitwiseOR(F.lit(-(2**63))))), 16, "0")).otherwise(F.lpad(F.hex(bits.bitwiseOR(F.lit(-(2**63)))), 16, "0"))
