@@ -5,9 +5,9 @@ between its two bytes is certain: the fragments on both sides are encoded
 independently and their ids concatenated. Cuts hold inside the words that the
 tokenizer's own normaliser and splitter give.
 
-Work is per distinct chunk of text between blanks: Arrow splits a batch and finds
-its distinct chunks, each of which is encoded once and kept in a bounded memory;
-ids of whole texts are gathered from them.
+Work is per distinct word: Arrow splits a batch into words and finds the distinct ones,
+each of which is encoded once and kept in a bounded memory; ids of whole texts are
+gathered from them.
 """
 
 from __future__ import annotations
@@ -23,14 +23,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text worked on at once, and chunks remembered per generation (two are kept).
+#: Bytes of text worked on at once, and words remembered per generation (two are kept).
 SLICE_BYTES, REMEMBERED = 4_000_000, 300_000
 
 # Texts of these characters only are NFC-stable, lower-case character by character, and
-# split alike by Python and by the tokenizer; all others take the library's own steps.
+# split alike by Arrow and by the tokenizer; all others take the library's own steps.
 _OTHER = "[^\t-\r -~¡-±´-¸º»¿-įı-ž‐-‧]|<\\|"
 _LETTER = "a-zªµºß-öø-ž"
-_WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[0-9]|[^\\s{_LETTER}0-9]+")
+#: What the tokenizer's splitter sets apart from runs of letters, beside blanks.
+_APART = f"('(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\t-\\r {_LETTER}0-9]+)"
 
 
 @functools.cache
@@ -93,15 +94,6 @@ class ForcedBoundaryBPE:
         *before, last = self.fragments(word)
         return [t.id for f in before for t in self.inner.tokenize(f)] + [t.id for t in self.final.tokenize(last)]
 
-    def chunk(self, chunk: str) -> bytes:
-        """Ids of a lower-case chunk without blanks, as little-endian 32-bit integers."""
-        if chunk.isascii():
-            words = [chunk] if chunk.isalpha() else _WORDS.findall(chunk)
-        else:
-            words = [w if w.isascii() else w.encode().decode("latin-1").translate(self.table) for w in _WORDS.findall(chunk)]
-        ids = self.word(words[0]) if len(words) == 1 else [i for w in words for i in self.word(w)]
-        return array("I", ids).tobytes()
-
     def any_text(self, text: str) -> np.ndarray:
         """Ids of any text: special tokens apart, then the library's normaliser and splitter."""
         ids: list[int] = []
@@ -116,17 +108,17 @@ class ForcedBoundaryBPE:
                 at = m.end()
         return np.array(ids, "<u4")
 
-    def looked_up(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks; what isn't remembered is encoded."""
-        parts = [*map(self.new.get, chunks)]
+    def looked_up(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, as little-endian 32-bit integers; what isn't remembered is encoded."""
+        parts = [*map(self.new.get, words)]
         for k, got in enumerate(parts):
             if got is None:
-                chunk = chunks[k]
-                if (got := self.old.get(chunk)) is None:
-                    got = self.chunk(chunk)
+                word = words[k]
+                if (got := self.old.get(word)) is None:
+                    got = array("I", self.word(word if word.isascii() else word.encode().decode("latin-1").translate(self.table))).tobytes() if word else b""
                 if len(self.new) >= REMEMBERED:
                     self.old, self.new = self.new, {}
-                self.new[chunk] = parts[k] = got
+                self.new[word] = parts[k] = got
         return parts
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -152,7 +144,7 @@ class ForcedBoundaryBPE:
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.match_substring_regex(texts, _OTHER)
         plain = pc.if_else(odd, "", texts)
-        lists = pc.ascii_split_whitespace(pc.utf8_lower(plain))
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(plain), _APART, r" \1 "))
         coded = lists.flatten().dictionary_encode()
         parts = self.looked_up(coded.dictionary.to_pylist())
         table = np.frombuffer(b"".join(parts), "<u4")
