@@ -6,7 +6,8 @@ that holds one document, or whose documents have ended, is done. The bytes thems
 are compared; no digest decides equality. The length of a text counts as its first
 digit. Runs grow eightfold, so a text of n bytes takes about log8(n) rounds.
 
-Groups are counted by partial aggregates and never gathered. From the second round on,
+Groups are counted by partial aggregates and never gathered; members of hot ones meet
+their group's row in many parts. From the second round on,
 only documents that share length and first bytes with another one are read.
 """
 
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.shared import sized_join, written
+from skarn.llm.shared import join_groups, sized_join, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of the first digit, and by how much each digit is longer than the one before.
@@ -41,8 +42,8 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "row_id", "norm", F.octet_length("norm").alias("n"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha")
     )
     heads = written(rows.select("row_id", "n", "sha", F.substring(F.col("norm").cast("binary"), 1, FIRST_BYTES).alias("digit")), "radix-heads")
-    groups = heads.groupBy("n", "digit").agg(F.count("*").alias("size"), F.min(F.struct("row_id", "sha")).alias("gid")).where("size > 1").drop("size")
-    state = written(heads.join(groups, ["n", "digit"]).select("row_id", "sha", "n", "gid"), "radix-0")
+    groups = heads.groupBy("n", "digit").agg(F.count("*").alias("size"), F.min(F.struct("row_id", "sha")).alias("gid")).where("size > 1")
+    state = written(join_groups(heads, groups, ["n", "digit"], "row_id").select("row_id", "sha", "n", "gid"), "radix-0")
     at, width = FIRST_BYTES, FIRST_BYTES * GROWTH
     ended = [state.where(F.col("n") <= at)]
     state = state.where(F.col("n") > at)
@@ -52,14 +53,14 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts = written(alive.select("row_id", "sha", F.col("norm").cast("binary").alias("norm")).dropDuplicates(["row_id", "sha"]), "radix-texts")
     while longest > at:
         digits = texts.join(state, ["row_id", "sha"]).select("row_id", "sha", "n", "gid", F.substring("norm", at + 1, width).alias("digit"))
-        groups = digits.groupBy("gid", "digit").agg(F.count("*").alias("size"), F.min(F.struct("row_id", "sha")).alias("next")).where("size > 1").drop("size")
-        state = written(digits.join(groups, ["gid", "digit"]).select("row_id", "sha", "n", F.col("next").alias("gid")), "radix")
+        groups = digits.groupBy("gid", "digit").agg(F.count("*").alias("size"), F.min(F.struct("row_id", "sha")).alias("next")).where("size > 1")
+        state = written(join_groups(digits, groups, ["gid", "digit"], "row_id").select("row_id", "sha", "n", F.col("next").alias("gid")), "radix")
         at, width = at + width, width * GROWTH
         ended.append(state.where(F.col("n") <= at))
         state = state.where(F.col("n") > at)
     equal = reduce(DataFrame.unionByName, ended)
     sizes = equal.groupBy("gid").agg(F.count("*").alias("group_size"), F.max("row_id").alias("keep_id"))
-    members = equal.join(sizes, "gid").select("row_id", "sha", "keep_id", "group_size").dropDuplicates(["row_id", "sha"])
+    members = join_groups(equal, sizes, ["gid"], "row_id", "group_size").select("row_id", "sha", "keep_id", "group_size").dropDuplicates(["row_id", "sha"])
     return heads.select("row_id", "n", "sha"), members
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of at most two longs and a short string that a join may broadcast (some 50 MB); more are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: A group is hot with over this many rows and over a thousandth of all; parts that a hot group's rows are dealt to.
+HOT_ROWS, HOT_GROUPS, SALTS = 1000, 1000, 64
 
 
 @functools.cache
@@ -49,6 +51,22 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], spread: str, size: str = "size") -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has one row for each, which counts its rows in ``size``.
+
+    Rows of hot groups are dealt to :data:`SALTS` parts by a hash of ``spread``, and their
+    group's row goes to each of these. Fewer than :data:`HOT_GROUPS` groups can hold over
+    that share of all rows, so the broadcast list of hot ones is bounded at any size.
+    """
+    groups = written(groups, "groups")
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = (F.col(size) > HOT_ROWS) & (F.col(size) * HOT_GROUPS > total)
+    listed = groups.where(hot).select(*on, F.lit(True).alias("_hot"))
+    salted = groups.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    return rows.join(F.broadcast(listed), on, "left").withColumn("_salt", salt).join(salted, [*on, "_salt"]).drop("_hot", "_salt")
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds the rows that go to Python workers at once: texts are long, and both sides hold a batch in memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
