@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.shared import sized_join, small_batches, trim, written
+from skarn.llm.shared import join_groups, sized_join, small_batches, trim, written
 
 WORDS, THRESHOLD = 5, 0.8
 #: MinHash values are BANDS * ROWS; a pair at the threshold meets in no band with probability (1 - 0.8 ** 5) ** 32 < 3e-6.
@@ -333,13 +333,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     met = sets.select("rep", "hashes").mapInArrow(keys, "key long, doc long")
     buckets = met.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(met.join(buckets, "key"), "bucket-members")
+    members = written(join_groups(met, buckets, ["key"], "doc"), "bucket-members")
     own = members.join(sets.select(F.col("rep").alias("doc"), "hashes"), "doc").select("key", "size", "doc", "hashes")
     edges = surviving(blocked(own, "key", "size", "doc", block).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj"), threshold, tolerance)
     comps = components(edges)
 
     sizes = comps.groupBy("root").agg(F.count("*").alias("size"))
-    placed = written(comps.join(sizes, "root").join(sets.select(F.col("rep").alias("node"), "weight"), "node").select(F.col("root").alias("comp"), "size", F.col("node").alias("doc"), "weight"), "component-members")
+    placed = written(join_groups(comps, sizes, ["root"], "node").join(sets.select(F.col("rep").alias("node"), "weight"), "node").select(F.col("root").alias("comp"), "size", F.col("node").alias("doc"), "weight"), "component-members")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_text"))
     chosen = sized_join(texts, placed, ["doc"]).select("comp", "size", "doc", "weight", "_text")
 
