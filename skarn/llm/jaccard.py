@@ -227,18 +227,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``node``, ``root``: the lowest node of each connected component of the nodes of ``edges`` (``u``, ``v``).
 
     Alternating large and small stars; each round is written to the shared folder, and
-    rounds go on until one changes nothing.
+    rounds go on until one changes nothing. A node that many others are linked to is a hot
+    key: its edges are dealt to many parts when they meet its lowest neighbour.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = written(edges, name)
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("size"))
+        large = join_groups(both, low, ["u"], "v").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.distinct(), name)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+        small = join_groups(large, low, ["u"], "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = written(small.where("u <> v").distinct(), name)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:

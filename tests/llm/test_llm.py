@@ -150,6 +150,29 @@ def shingles(text):
     return set(zip(*[words[k:] for k in range(5)], strict=False)) or ({tuple(words)} if words else set())
 
 
+def test_components_with_a_hot_node(spark):
+    from skarn.llm.jaccard import components
+
+    r = random.Random(5)
+    edges = [(10_000, i) for i in range(3000)] + [(i, i + 1) for i in range(20_000, 20_012)] + [(r.randrange(30_000, 30_200), r.randrange(30_000, 30_200)) for _ in range(120)]
+    edges += [(40_000 + i, 50_000) for i in range(1500)] + [(50_000, 20_006), (7, 7)]
+    above = {}
+
+    def root(x):
+        while above.setdefault(x, x) != x:
+            x = above[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            a, b = sorted((root(u), root(v)))
+            above[b] = a
+    rows = components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()
+    assert len(rows) == len(above)
+    assert {x.node: x.root for x in rows} == {x: root(x) for x in above}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 @pytest.mark.parametrize("block", [2, 256])
 def test_jaccard_join(docs, texts, nothing, block):
     from skarn.llm.jaccard import near_duplicates
