@@ -8,7 +8,8 @@ Only suffixes that may have an equal one are sorted. The smallest hash among the
 names it (its seed): equal suffixes have equal seeds at equal offsets.
 
 1. Seeds that stand in two documents are found from sorted, packed seed lists, a few
-   bytes a seed. They go into a Bloom filter of fixed size.
+   bytes a seed, dealt to buckets of even size whose number follows the input. They go
+   into a Bloom filter that grows with them up to a bound.
 2. The texts are read again. Suffixes that follow each other with one seed travel as one
    row, their bytes once, to where their seed is sorted. Rows equal to one of a smaller
    document of the same batch need not travel.
@@ -17,8 +18,8 @@ names it (its seed): equal suffixes have equal seeds at equal offsets.
    differs from a leader, order the groups that still agree. Leaves hold equal suffixes.
 4. The removed spans of each document meet its text.
 
-Seeds with very many different surroundings are dealt out suffix by suffix, by the
-suffixes' own bytes, so that no seed is too much for a task.
+Suffixes of seeds with very many different surroundings are aggregated by their own
+bytes before they are shuffled, so that neither a seed nor a suffix is too much for a task.
 """
 
 from __future__ import annotations
@@ -33,19 +34,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.jaccard import bounds_of, by_group, mix
-from skarn.llm.shared import sized_join, written
+from skarn.llm.shared import join_groups, sized_join, small_batches, trim, written
 
 #: Bytes of a string that counts, and of a seed within it.
 LENGTH, SEED = 50, 24
 WINDOW = LENGTH - SEED + 1
 #: Words of eight bytes that multikey quicksort goes through before blind tries take over.
 SHALLOW_WORDS = 2
-#: Bits of the filter of shared seeds, whatever their number, and its hash functions.
-FILTER_BITS, FILTER_HASHES = 1 << 26, 3
-#: Buckets that seed lists are dealt to; bytes of text worked on at once.
-BUCKETS, SLICE_BYTES = 256, 4_000_000
+#: Fewest and most bits of the filter of shared seeds (8 and 64 MB), bits it has for each seed in between, and its hash functions.
+FILTER_BITS, MOST_FILTER_BITS, SEED_BITS, FILTER_HASHES = 1 << 26, 1 << 29, 8, 3
+#: Bits of the filter that are collected as one row.
+PAGE_BITS = 1 << 15
+#: Fewest buckets that seed lists are dealt to, most bytes of text to a bucket (a fourteenth as many seeds); bytes of text worked on at once.
+BUCKETS, BUCKET_BYTES, SLICE_BYTES = 256, 16_000_000, 4_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
+_LOW48 = np.uint64((1 << 48) - 1)
 
 
 def seed_hashes(data: np.ndarray) -> np.ndarray:
@@ -134,14 +138,25 @@ def runs_of(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, Runs
             yield np.array(row), np.array(place), Runs(data, ends - [len(p) for p in parts], ends)
 
 
-def packed_seeds(docs: DataFrame) -> DataFrame:
-    """``bucket``, ``many``, ``seeds``: distinct seeds of each batch, those of several documents apart; 48 bits of each."""
+def short_seeds(seed: np.ndarray) -> np.ndarray:
+    """48 bits of each seed, spread evenly: a seed is the smallest of ``WINDOW`` hashes, so its own high bits are mostly zero."""
+    return ((seed >> np.uint64(16)) * _P) & _LOW48
+
+
+def bucket_bits(docs: DataFrame) -> int:
+    """Binary logarithm of the number of buckets for these texts."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return (max(BUCKETS, -(-size // BUCKET_BYTES)) - 1).bit_length()
+
+
+def packed_seeds(docs: DataFrame, bits: int) -> DataFrame:
+    """``bucket`` (the first ``bits``, at least 8, of its seeds), ``many``, ``seeds``: distinct seeds of each batch, those of several documents apart; 48 bits of each."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             seeds, owner = [], []
             for row, _, runs in runs_of(b.column(1)):
-                seeds.append(runs.seed >> np.uint64(16))
+                seeds.append(short_seeds(runs.seed))
                 owner.append(row[runs.doc])
             if not seeds:
                 continue
@@ -152,52 +167,85 @@ def packed_seeds(docs: DataFrame) -> DataFrame:
             last = np.append(first[1:], len(seed)) - 1
             many = owner[first] != owner[last]
             seed = seed[first]
-            bucket = (seed >> np.uint64(40)).astype(np.int64)
+            bucket = (seed >> np.uint64(48 - bits)).astype(np.int64)
             out: list[tuple[int, bool, bytes]] = []
-            cut = np.searchsorted(bucket, np.arange(BUCKETS + 1))
-            for k in range(BUCKETS):
+            cut = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)).tolist()
+            for a, z in zip(cut, cut[1:]):
                 for flag in (False, True):
-                    own = seed[cut[k] : cut[k + 1]][many[cut[k] : cut[k + 1]] == flag]
+                    own = seed[a:z][many[a:z] == flag]
                     if len(own):
-                        out.append((k, flag, ((own >> np.uint64(32)) & np.uint64(255)).astype(np.uint8).tobytes() + own.astype("<u4").tobytes()))
+                        out.append((int(bucket[a]), flag, ((own >> np.uint64(32)) & np.uint64(255)).astype(np.uint8).tobytes() + own.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out]), pa.array([x[2] for x in out], pa.binary())], ["bucket", "many", "seeds"])
+        trim()
 
     return docs.mapInArrow(batches, "bucket int, many boolean, seeds binary")
 
 
-def shared_filter(docs: DataFrame) -> np.ndarray:
-    """The filter of seeds that stand in two documents: 32-bit words of it, of fixed number."""
+def shared_seeds(docs: DataFrame, bits: int) -> DataFrame:
+    """``n``, ``seeds``: number and 64-bit integers of the seeds of each bucket that stand in two documents; a task holds one bucket at a time."""
 
     def merged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, list[np.ndarray]] = {}
-        often: list[np.ndarray] = []
-        for b in it:
-            for bucket, many, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n = len(raw) // 5
-                seed = (np.uint64(bucket) << np.uint64(40)) | (np.frombuffer(raw, np.uint8, n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(raw, "<u4", n, n).astype(np.uint64)
-                if many:
-                    often.append(seed)
-                once.setdefault(bucket, []).append(seed)
-        for parts in once.values():
-            seed = np.sort(np.concatenate(parts))
-            often.append(seed[1:][seed[1:] == seed[:-1]])
-        if often:
-            at = filter_bits(np.unique(np.concatenate(often))).ravel()
-            word, where = np.unique(at >> 5, return_inverse=True)
-            bits = np.zeros(len(word), np.int64)
-            np.bitwise_or.at(bits, where, 1 << (at & 31))
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(bits)], ["word", "bits"])
-
-    found = packed_seeds(docs).repartition("bucket").mapInArrow(merged, "word int, bits long")
-    words = found.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most FILTER_BITS / 32 rows
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
-    return out
+        for b in by_group(it, 1):
+            bounds = bounds_of(b, 1)
+            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                once, often = [], []
+                for bucket, many, raw in zip(*(c.slice(a, z - a).to_pylist() for c in b.columns), strict=True):
+                    n = len(raw) // 5
+                    seed = (np.uint64(bucket >> (bits - 8)) << np.uint64(40)) | (np.frombuffer(raw, np.uint8, n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(raw, "<u4", n, n).astype(np.uint64)
+                    once.append(seed)
+                    if many:
+                        often.append(seed)
+                seed = np.concatenate(once)
+                seed.sort()
+                often = np.unique(np.concatenate([*often, seed[1:][seed[1:] == seed[:-1]]]))
+                if len(often):
+                    yield pa.RecordBatch.from_arrays([pa.array([len(often)], pa.int64()), pa.array([often.tobytes()], pa.binary())], ["n", "seeds"])
+
+    return packed_seeds(docs, bits).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, "n long, seeds binary")
+
 
+def filter_size(seeds: int) -> int:
+    """Bits of the filter of so many seeds, a power of two within its bounds."""
+    return min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << max(0, seeds * SEED_BITS - 1).bit_length()))
 
-def filter_bits(seed: np.ndarray) -> np.ndarray:
-    """Places in the filter of 48-bit seeds."""
-    shift = np.uint64(64 - (FILTER_BITS.bit_length() - 1))
+
+def shared_filter(docs: DataFrame) -> np.ndarray:
+    """The filter of seeds that stand in two documents: 32-bit words of it, of bounded number."""
+    found = written(shared_seeds(docs, bucket_bits(docs)), "suffix-seeds")
+    total = filter_size(found.agg(F.sum("n")).first()[0] or 0)
+
+    def placed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for raw in b.column(0).to_pylist():
+                at = np.unique(filter_bits(np.frombuffer(raw, np.uint64), total))
+                page = at // PAGE_BITS
+                cut = np.append(np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1]])), len(page)).tolist()
+                places = (at % PAGE_BITS).astype("<u2")
+                yield pa.RecordBatch.from_arrays([pa.array(page[cut[:-1]], pa.int32()), pa.array([places[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary())], ["page", "places"])
+
+    def paged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_group(it, 1):
+            pages, out = [], []
+            bounds = bounds_of(b, 1)
+            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                bits = np.zeros(PAGE_BITS, np.uint8)
+                for raw in b.column(1).slice(a, z - a).to_pylist():
+                    bits[np.frombuffer(raw, "<u2")] = 1
+                pages.append(b.column(0)[a].as_py())
+                out.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int32()), pa.array(out, pa.binary())], ["page", "bits"])
+
+    marks = found.select("seeds").mapInArrow(placed, "page int, places binary")
+    pages = marks.repartition("page").sortWithinPartitions("page").mapInArrow(paged, "page int, bits binary").toArrow()  # at most MOST_FILTER_BITS
+    out = np.zeros(total // 32, "<u4").reshape(-1, PAGE_BITS // 32)
+    for page, raw in zip(pages.column("page").to_pylist(), pages.column("bits"), strict=True):
+        out[page] = np.frombuffer(raw.as_py(), "<u4")
+    return out.ravel()
+
+
+def filter_bits(seed: np.ndarray, total: int) -> np.ndarray:
+    """Places of 48-bit seeds in a filter of ``total`` bits."""
+    shift = np.uint64(64 - (total.bit_length() - 1))
     return np.stack([(mix(seed + np.uint64((k + 1) * int(_P) % 2**64)) >> shift).astype(np.int64) for k in range(FILTER_HASHES)], 1)
 
 
@@ -223,7 +271,7 @@ def candidate_rows(docs: DataFrame, shared: np.ndarray) -> DataFrame:
     Of runs of equal bytes in a batch only those of the smallest document go on; the
     others are spans to remove, from ``start`` on, ``pre`` bytes long.
     """
-    held = docs.sparkSession.sparkContext.broadcast(shared)  # of fixed size
+    held = docs.sparkSession.sparkContext.broadcast(shared)  # of bounded size
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
@@ -232,7 +280,7 @@ def candidate_rows(docs: DataFrame, shared: np.ndarray) -> DataFrame:
             cols: list[list[np.ndarray]] = [[], [], [], []]
             text: list[bytes] = []
             for row, place, runs in runs_of(b.column(1)):
-                at = filter_bits(runs.seed >> np.uint64(16))
+                at = filter_bits(short_seeds(runs.seed), len(bits) * 32)
                 hit = np.flatnonzero(((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(1))
                 own = runs.doc[hit]
                 for c, v in zip(cols, (runs.seed[hit].view(np.int64), runs.pre[hit], ids[row[own]], place[own] + runs.at[hit]), strict=True):
@@ -248,6 +296,7 @@ def candidate_rows(docs: DataFrame, shared: np.ndarray) -> DataFrame:
                 [pa.array(seed), pa.array(np.where(gone, size, pre)), pa.array(doc), pa.array(start), pa.array([None if g else t for g, t in zip(gone.tolist(), text, strict=True)], pa.binary())],
                 ["seed", "pre", "doc", "start", "text"],
             )
+        trim()
 
     return docs.mapInArrow(batches, "seed long, pre long, doc long, start long, text binary")
 
@@ -392,21 +441,29 @@ def chunks(rows: np.ndarray, group: np.ndarray, weight: np.ndarray, most: int =
 
 
 def single_suffixes(rows: DataFrame) -> DataFrame:
-    """Runs taken apart: ``deal`` (hash of the suffix's bytes), ``pre`` 0, ``doc``, ``start``, ``text`` of ``LENGTH`` bytes each."""
+    """Runs taken apart: ``doc``, ``start``, ``text`` of ``LENGTH`` bytes of each suffix."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            deal, doc, start, text = [], [], [], []
-            for d, s, t in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            doc, start, text = [], [], []
+            for d, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for k in range(len(t) - LENGTH + 1):
-                    own = t[k : k + LENGTH]
-                    deal.append(int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True))
                     doc.append(d)
                     start.append(s + k)
-                    text.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(deal, pa.int64()), pa.array([0] * len(doc), pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(text, pa.binary())], ["seed", "pre", "doc", "start", "text"])
+                    text.append(t[k : k + LENGTH])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(text, pa.binary())], ["doc", "start", "text"])
+
+    return rows.select("doc", "start", "text").mapInArrow(batches, "doc long, start long, text binary")
+
 
-    return rows.mapInArrow(batches, "seed long, pre long, doc long, start long, text binary")
+def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
+    """``doc``, ``start``, ``end`` of single suffixes that smaller documents have too.
+
+    Equal suffixes are aggregated before the shuffle; those of a hot one are dealt to many
+    parts when they meet its smallest document.
+    """
+    first = suffixes.groupBy("text").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("size")).where("least < most").drop("most")
+    return join_groups(suffixes, first, ["text"], "start").where("doc > least").select("doc", "start", (F.col("start") + LENGTH).alias("end"))
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:
@@ -427,7 +484,7 @@ def merged_spans(spans: DataFrame) -> DataFrame:
     return spans.repartition("doc").sortWithinPartitions("doc", "start").mapInArrow(batches, "doc long, spans binary")
 
 
-#: Rows of one seed that one task sorts; seeds with more are dealt out suffix by suffix. Bytes of spans that may be broadcast.
+#: Rows of one seed that one task sorts; suffixes of seeds with more are aggregated. Bytes of spans that may be broadcast.
 MOST_ROWS, MOST_BROADCAST = 20_000, 32_000_000
 
 
@@ -440,14 +497,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     either loses at its place. Other columns are left out, whatever their names; an empty
     table gives none.
     """
+    small_batches(docs.sparkSession, 5000)
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = written(candidate_rows(own, shared_filter(own)), "suffix-rows")
     live = rows.where("text is not null")
     hot = written(live.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > most_rows).select("seed"), "suffix-hot-seeds")
     calm = sized_join(live, hot, ["seed"], "left_anti")
-    apart = single_suffixes(sized_join(live, hot, ["seed"], "left_semi").select("seed", "pre", "doc", "start", "text"))
+    apart = single_suffixes(sized_join(live, hot, ["seed"], "left_semi"))
     found = [rows.where("text is null").select("doc", "start", (F.col("start") + F.col("pre")).alias("end"))]
-    found += [removed_spans(x.select("seed", "pre", "doc", "start", "text").repartition("seed").sortWithinPartitions("seed")) for x in (calm, apart)]
+    found += [removed_spans(calm.select("seed", "pre", "doc", "start", "text").repartition("seed").sortWithinPartitions("seed")), repeated_suffixes(apart)]
     spans = written(merged_spans(found[0].unionByName(found[1]).unionByName(found[2])), "suffix-spans")
     size = spans.agg(F.coalesce(F.sum(F.octet_length("spans") + 16), F.lit(0))).first()[0]  # checked before it is broadcast
     both = own.join(F.broadcast(spans) if size <= MOST_BROADCAST else spans, "doc", "left").select("doc", "text", "spans")

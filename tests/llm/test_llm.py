@@ -307,6 +307,39 @@ def test_suffix_dedup(docs, texts, nothing, most):
         assert remove_repeats(nothing).count() == 0
 
 
+def test_seed_buckets_and_filter(spark):
+    from skarn.llm import suffix
+
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz    "
+    rows = [(i, "".join(r.choices(letters, k=4000))) for i in range(120)]
+    rows += [(200 + i, r.choice(rows)[1][100:900]) for i in range(30)]
+    own = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+    assert suffix.bucket_bits(own) == 8 and suffix.filter_size(10**7) == 1 << 27 and suffix.filter_size(10**12) == 1 << 29
+    for bits in (8, 11):
+        sizes = {}
+        for x in suffix.packed_seeds(own, bits).collect():
+            sizes[x.bucket] = sizes.get(x.bucket, 0) + len(x.seeds) // 5
+        assert len(sizes) > 0.97 * 2**bits and max(sizes.values()) < 20 + 2 * sum(sizes.values()) / 2**bits
+    owners = {}
+    for d, t in rows:
+        for _, _, runs in suffix.runs_of(pa.array([t])):
+            for s in suffix.short_seeds(runs.seed).tolist():
+                owners.setdefault(s, set()).add(d)
+    want = sorted(s for s, d in owners.items() if len(d) > 1)
+    for bits in (8, 11):
+        got = suffix.shared_seeds(own, bits).collect()
+        assert want and sorted(np.concatenate([np.frombuffer(x.seeds, np.uint64) for x in got]).tolist()) == want
+
+
+def test_hot_suffixes_are_aggregated(spark):
+    from skarn.llm.suffix import repeated_suffixes
+
+    rows = [(i % 700, 50 * i, b"h" * 50) for i in range(3000)] + [(5, 7, b"u" * 50), (8, 1, b"v" * 50), (9, 2, b"v" * 50)]
+    got = sorted(tuple(x) for x in repeated_suffixes(spark.createDataFrame(rows, "doc long, start long, text binary")).collect())
+    assert got == sorted([(d, s, s + 50) for d, s, t in rows if t[:1] == b"h" and d > 0] + [(9, 2, 52)])
+
+
 def test_deep_shallow_sort():
     from skarn.llm.suffix import LENGTH, sorted_suffixes
 
