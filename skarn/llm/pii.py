@@ -1,20 +1,20 @@
 """Personal data and information-theoretic sanitisation (op 10).
 
 Base spans are emails, IP addresses, card and phone numbers found by pattern. Each found
-value is a protected entity. Words around an entity's mentions may disclose it: by corpus
+value is a protected entity. Other words of its documents may disclose it: by corpus
 co-occurrence, a term t discloses entity c when
 
     PMI(c; t) = log2(p(c, t) / (p(c) p(t)))  >=  IC(c) / ALPHA = -log2 p(c) / ALPHA
 
-that is, when seeing t gives away most of the information that c carries. p(t), p(c) are
-shares of all documents, p(c, t) of documents where t stands within :data:`AROUND` words
-of a mention of c. As evidence counts only what several different surroundings agree on
-(:data:`LEAST_CONTEXTS`), so that copies of one document disclose nothing by themselves.
-Disclosing terms become spans too where they stand near a mention; sanitising replaces
-numbers and addresses by their kind, and terms by their shape's general word or nothing.
+that is, when seeing t gives away most of the information that c carries. p(t) is the share
+of all documents that hold t; p(c), p(c, t) count different texts that hold c, or both, so
+that copies of one text are evidence once. A disclosing term becomes a span wherever it
+stands in a document that holds its entity; sanitising replaces numbers and addresses by
+their kind, and terms by their shape's general word or nothing.
 
-One pass over the texts gives base spans, surroundings and document counts of words; the
-rest are joins of small tables.
+One pass over the texts gives base spans, document counts of words, and the entities and
+words of documents with any. Pairs of entity and term whose counts can't reach the bound,
+whatever their co-occurrence, are left out before they are shuffled.
 """
 
 from __future__ import annotations
@@ -22,17 +22,21 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.shared import sized_join, small_batches, trim, written
+from skarn.llm.shared import join_groups, small_batches, trim, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side that count as near; share of an entity's information a term may give away; different surroundings and characters a term needs.
-AROUND, ALPHA, LEAST_CONTEXTS, LEAST_CHARS = 5, 1.25, 3, 3
+#: Share of an entity's information a term may give away; characters a term needs.
+ALPHA, LEAST_CHARS = 1.25, 3
+#: Most frequent words and entities whose counts all tasks know, to leave out pairs early; others pass.
+LISTED = 100_000
+#: Bytes of disclosing terms that a join may broadcast.
+MOST_BROADCAST = 32_000_000
 #: Distinct words whose document counts a task holds before it passes them on.
 HELD_WORDS = 120_000
 
@@ -87,34 +91,34 @@ def shown(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def near_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, int, str]]:
-    """(index of span, start, end, lower-case word) within ``AROUND`` words of each span, words inside spans left out."""
+def words_outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, lower-case word) of the words that touch no span."""
     taken = sorted((a, b) for _, a, b in spans)
-    for i, (_, a, b) in enumerate(spans):
-        lo = max(0, a - 40 * AROUND)
-        before = [m.span() for m in _WORD.finditer(text, lo, a)]
-        if lo and before and before[0][0] == lo:
-            before = before[1:]  # may be the rest of a longer word
-        after = []
-        for m in _WORD.finditer(text, b):
-            if len(after) == AROUND:
-                break
-            after.append(m.span())
-        for s, e in [*before[-AROUND:], *after]:
-            if e - s >= LEAST_CHARS and not any(s < y and x < e for x, y in taken if x < e):
-                yield i, s, e, text[s:e].lower()
+    k, end = 0, 0
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        while k < len(taken) and taken[k][0] < e:
+            end = max(end, taken[k][1])
+            k += 1
+        if end <= s and e - s >= LEAST_CHARS:
+            yield s, e, m[0].lower()
+
+
+def located(text: str, terms: Iterable[str]) -> list[tuple[int, int]]:
+    """Where the terms stand outside base spans."""
+    terms = set(terms)
+    return [(s, e) for s, e, w in words_outside(text, base_spans(text)) if w in terms] if terms else []
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One pass, three kinds of rows (``tag``): 0 documents with base spans, 1 mentions and words near them, 2 documents per word.
+    """One pass, three kinds of rows (``tag``): 0 documents with base spans, 1 entities and other words of those with any, 2 documents per word.
 
     (``row_id``, ``text_hash``) tells documents apart; rows equal in both are alike in all results.
     """
     kinds = {
         "tag": ("tinyint", pa.int8()), "row_id": ("bigint", pa.int64()), "text_hash": ("bigint", pa.int64()),
         **{f"n_{k}": ("bigint", pa.int64()) for k in KINDS}, "base_sha256": ("string", pa.string()), "spans": ("string", pa.string()),
-        "entity": ("string", pa.string()), "term": ("string", pa.string()), "start": ("int", pa.int32()), "end": ("int", pa.int32()),
-        "context": ("bigint", pa.int64()), "docs": ("bigint", pa.int64()),
+        "entities": ("string", pa.string()), "words": ("string", pa.string()), "term": ("string", pa.string()), "docs": ("bigint", pa.int64()),
     }
 
     def rows(tag: int, cols: dict[str, list]) -> pa.RecordBatch:
@@ -132,7 +136,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         held: Counter = Counter()
         for b in it:
             base: dict[str, list] = {c: [] for c in ("row_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "spans")}
-            near: dict[str, list] = {c: [] for c in ("row_id", "text_hash", "entity", "term", "start", "end", "context")}
+            held_by: dict[str, list] = {c: [] for c in ("row_id", "text_hash", "entities", "words")}
             for key, mark, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 spans = base_spans(text)
                 list_ = shown(spans)
@@ -140,22 +144,16 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for c, v in zip(base.values(), (key, mark, *(counts[k] for k in KINDS), hashlib.sha256(list_.encode()).hexdigest(), list_), strict=True):
                     c.append(v)
                 if spans:
-                    found = [*near_words(text, spans)]
-                    around: dict[int, list[str]] = {i: [] for i in range(len(spans))}
-                    for i, _, _, w in found:
-                        around[i].append(w)
-                    for i, (kind, x, y) in enumerate(spans):
-                        seen = int.from_bytes(hashlib.blake2b(" ".join(around[i]).encode(), digest_size=8).digest(), "little", signed=True)
-                        for _, s, e, w in [(i, None, None, None), *(f for f in found if f[0] == i)]:
-                            for c, v in zip(near.values(), (key, mark, entity(kind, text[x:y]), w, s, e, seen), strict=True):
-                                c.append(v)
-                held.update(set(_WORD.findall(text.lower())))
+                    own = sorted({entity(kind, text[x:y]) for kind, x, y in spans})
+                    for c, v in zip(held_by.values(), (key, mark, " ".join(own), " ".join(sorted({w for _, _, w in words_outside(text, spans)}))), strict=True):
+                        c.append(v)
+                held.update({w.lower() for w in set(_WORD.findall(text))})
                 if len(held) > HELD_WORDS:
                     yield from counted(held)
                     held = Counter()
             yield rows(0, base)
-            if near["row_id"]:
-                yield rows(1, near)
+            if held_by["row_id"]:
+                yield rows(1, held_by)
         yield from counted(held)
         held.clear()
         trim()
@@ -165,30 +163,73 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("row_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(batches, schema)
 
 
-def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, least_contexts: int = LEAST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
-    """Base rows of all documents, and (``row_id``, ``text_hash``, ``terms``) of those with disclosing terms.
+def pairs(held: DataFrame, documents: int, words: DataFrame, mentions: DataFrame, alpha: float) -> DataFrame:
+    """``text_hash``, ``entity``, ``term`` of all documents with entities.
 
-    ``terms``: array of (start, end), by start.
+    PMI is largest when t stands in every text that holds c: n_t may then be as large as
+    N ** (1 - 1 / alpha) * n_c ** (1 / alpha). Pairs over that by the counts listed are left out.
     """
+    spark = held.sparkSession
+
+    def listed(counts: DataFrame, name: str, n: str) -> tuple[dict[str, int], int]:
+        top = counts.orderBy(F.desc(n), name).limit(LISTED).toArrow()
+        n_top = top.column(n).to_pylist()
+        return dict(zip(top.column(name).to_pylist(), n_top, strict=True)), (n_top[-1] if len(n_top) == LISTED else 1)
+
+    often = listed(words.where(F.col("n_t") > documents ** (1 - 1 / alpha)), "term", "n_t")[0]
+    known = spark.sparkContext.broadcast((often, *listed(mentions.where("n_c > 1"), "entity", "n_c")))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, entities, others = known.value
+        cols: tuple[list, ...] = ([], [], [])
+        kinds = {"text_hash": pa.int64(), "entity": pa.string(), "term": pa.string()}
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], [*kinds])
+
+        for b in it:
+            for mark, own, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                counts = [(w, often.get(w, 0)) for w in words.split()]
+                for c in own.split():
+                    most = documents ** (1 - 1 / alpha) * entities.get(c, others) ** (1 / alpha) * (1 + 1e-9)
+                    terms = [w for w, n in counts if n <= most]
+                    for col, v in zip(cols, ([mark] * len(terms), [c] * len(terms), terms), strict=True):
+                        col += v
+                    if len(cols[0]) > 50_000:
+                        yield batch()
+                        cols = ([], [], [])
+        yield batch()
+        trim()
+
+    return held.select("text_hash", "entities", "words").mapInArrow(batches, "text_hash long, entity string, term string")
+
+
+def terms_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
+    """Base rows of all documents, and (``row_id``, ``text_hash``, ``terms``) of those with disclosing terms: their words."""
     small_batches(docs.sparkSession)
     all_rows = written(scanned(docs, id_col, text_col), "sanitise")
     base = all_rows.where("tag = 0")
-    near = all_rows.where("tag = 1")
+    held = all_rows.where("tag = 1")
     documents = max(1, base.count())
-    mentions = near.where("term is null").groupBy("entity").agg(F.count_distinct("row_id", "text_hash").alias("n_c"))
-    together = (
-        near.where("term is not null")
-        .groupBy("entity", "term")
-        .agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row_id", "text_hash").alias("n_ct"))
-        .where(F.col("contexts") >= least_contexts)
-    )
+    entities = held.select("row_id", "text_hash", F.explode(F.split("entities", " ")).alias("entity")).distinct()
+    mentions = written(entities.groupBy("entity").agg(F.count_distinct("text_hash").alias("n_c"), F.count("*").alias("size")), "entities")
     words = all_rows.where("tag = 2").groupBy("term").agg(F.sum("docs").alias("n_t"))
+    texts = pairs(held, documents, words, mentions, alpha).distinct()
+    together = texts.groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
     information = F.log2(F.lit(float(documents)) / F.col("n_c"))
     pmi = F.log2(F.col("n_ct") * F.lit(float(documents)) / (F.col("n_c") * F.col("n_t")))
-    disclosing = written(words.join(together, "term").join(mentions, "entity").where(pmi >= information / alpha).select("entity", "term"), "disclosing")
-    added = sized_join(near.where("term is not null"), disclosing, ["entity", "term"], "left_semi")
-    terms = added.groupBy("row_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))  # of one document
-    return base, written(terms, "disclosing-spans")
+    disclosing = words.join(together, "term").join(mentions, "entity").where(pmi >= information / alpha - 1e-9)
+    disclosing = disclosing.groupBy("entity").agg(F.collect_set("term").alias("terms"), F.first("size").alias("size"))
+    added = join_groups(entities, disclosing, ["entity"], "text_hash")
+    terms = added.groupBy("row_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))  # of one document
+    return base, written(terms, "disclosing")
+
+
+def with_terms(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """``docs`` with ``_terms``, the disclosing words of each."""
+    terms = terms.select(F.col("row_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("terms").alias("_terms"))
+    small = terms.agg(F.sum(F.size("_terms") * 20 + 60)).first()[0] or 0
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    on = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    return docs.join(F.broadcast(terms) if small <= MOST_BROADCAST else terms, on, how)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,10 +240,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Repeated rows count as one document and have the same spans; other columns are left
     out, whatever their names; an empty table gives none.
     """
-    base, terms = spans_of(docs, id_col, text_col)
-    both = base.alias("b").join(terms.alias("t"), F.expr("b.row_id <=> t.row_id and b.text_hash = t.text_hash"), "left")
-    own = F.array_join(F.transform("t.terms", lambda x: F.concat(F.lit("term:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")
-    spans = F.array_join(F.filter(F.array(F.col("b.spans"), F.coalesce(own, F.lit(""))), lambda x: x != ""), ",")
+    base, terms = terms_of(docs, id_col, text_col)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts, own = b.column(2).to_pylist(), b.column(3).to_pylist()
+            found = [shown(("term", s, e) for s, e in located(t, x)) for t, x in zip(texts, own, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string())], ["row_id", "text_hash", "term_spans"])
+        trim()
+
+    marked = with_terms(docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")), terms, "row_id", "text", "inner")
+    own = marked.select("row_id", F.col("_hash").alias("text_hash"), "text", "_terms").mapInArrow(batches, "row_id long, text_hash long, term_spans string")
+    own = written(own, "term-spans").dropDuplicates(["row_id", "text_hash"])
+    both = base.alias("b").join(own.alias("t"), F.expr("b.row_id <=> t.row_id and b.text_hash = t.text_hash"), "left")
+    spans = F.array_join(F.filter(F.array(F.col("b.spans"), F.coalesce("t.term_spans", F.lit(""))), lambda x: x != ""), ",")
     return both.select(F.col("b.row_id").alias(id_col), *(f"b.n_{k}" for k in KINDS), "b.base_sha256", spans.alias("spans"))
 
 
@@ -221,18 +272,15 @@ def replaced(text: str, terms: list[tuple[int, int]]) -> str:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its columns and rows, personal data in ``text_col`` replaced; see :func:`replaced`. A null text stays null."""
-    _, terms = spans_of(docs, id_col, text_col)
-    terms = terms.select(F.col("row_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("terms").alias("_terms"))
-    small = terms.limit(300_001).count() <= 300_000
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(F.broadcast(terms) if small else terms, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    _, terms = terms_of(docs, id_col, text_col)
+    joined = with_terms(docs, terms, id_col, text_col, "left")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             place = b.schema.names.index(text_col)
             texts = b.column(place).to_pylist()
             terms = b.column(b.num_columns - 1).to_pylist()
-            new = [None if t is None else replaced(t, [(x["start"], x["end"]) for x in own or ()]) for t, own in zip(texts, terms, strict=True)]
+            new = [None if t is None else replaced(t, located(t, own or ())) for t, own in zip(texts, terms, strict=True)]
             columns = [pa.array(new, pa.string()) if k == place else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
         trim()

@@ -386,6 +386,43 @@ def test_sanitise(docs, texts, nothing):
     assert find(nothing).count() == 0 and sanitise(nothing).count() == 0
 
 
+def test_terms_of_whole_documents(spark):
+    from skarn.llm.pii import base_spans, find, sanitise
+
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(30)]
+    make = lambda n: " ".join(r.sample(words, n))
+    texts = [make(25) for _ in range(60)]
+    far = f"Quuxley {make(20)} mail a.b@x.org {make(20)} Quuxley"  # far from its only mention, and two copies
+    late = f"Vantongeren {'1' * 400} + 10.1.2.3 {make(8)}"  # behind 400 characters
+    texts += [far, far, late, make(20), None]
+    docs = spark.createDataFrame([(i if i < 64 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    n = len(texts)
+    own, held, seen = [], {}, {}
+    for t in texts:
+        t = t or ""
+        spans = base_spans(t)
+        own.append({t[a:b].lower() for _, a, b in spans})
+        rest = {m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(m.start() < b and a < m.end() for _, a, b in spans)}
+        for w in {m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", t)}:
+            seen[w] = seen.get(w, 0) + 1
+        for c in own[-1]:
+            held.setdefault(c, {})[t] = rest
+    clean, got = by_id(sanitise(docs)), by_id(find(docs))
+    for i, t in enumerate(texts[:64]):
+        told = set()
+        for c in own[i]:
+            for w in set().union(*held[c].values()):
+                both = sum(w in x for x in held[c].values())
+                if math.log2(both * n / (len(held[c]) * seen[w])) >= math.log2(n / len(held[c])) / 1.25 - 1e-9:
+                    told.add(w)
+        base = base_spans(t)
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]+", t) if m[0].lower() in told and not any(m.start() < b and a < m.end() for _, a, b in base)]
+        assert [x for x in got[i].spans.split(",") if x.startswith("term")] == want
+    assert "Vantongeren" not in clean[62].text and all("Quuxley" not in clean[i].text for i in (60, 61))
+    assert clean[63].text == texts[63]
+
+
 def test_merkle_audit(spark):
     from skarn.llm.warc import audit, records
 
