@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of at most two longs and a short string that a join may broadcast (some 50 MB); more are shuffled.
@@ -67,6 +67,16 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], spread: str,
     return rows.join(F.broadcast(listed), on, "left").withColumn("_salt", salt).join(salted, [*on, "_salt"]).drop("_hot", "_salt")
 
 
+def single_rows(docs: DataFrame, repeated: DataFrame, id_: Column, mark: Column) -> DataFrame:
+    """``docs`` with one row of each ``_id``, ``_mark`` in the written table ``repeated``; others as they are."""
+    if repeated.isEmpty():
+        return docs
+    keyed = docs.withColumn("_key_id", id_).withColumn("_key_mark", mark)
+    on = F.col("_key_id").eqNullSafe(F.col("_id")) & (F.col("_key_mark") == F.col("_mark"))
+    once = keyed.join(repeated, on, "left_semi").dropDuplicates(["_key_id", "_key_mark"])
+    return keyed.join(repeated, on, "left_anti").unionByName(once).select(*docs.columns)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds the rows that go to Python workers at once: texts are long, and both sides hold a batch in memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -145,6 +145,18 @@ def test_exact_dedup(spark, docs, texts, nothing):
     assert sorted((str(r.doc_id), r.keep_id, r.group_size) for r in exact_dedup(odd).collect()) == [("1", 3, 3), ("2", 2, 1), ("3", 3, 3), ("3", 3, 3), ("7", 7, 2), ("None", 7, 2)]
 
 
+def test_exact_dedup_of_long_texts_without_ids(spark):
+    from skarn.llm.radix_dedup import drop_duplicates, exact_dedup
+
+    a, b, c, d = ("x" * 40, "y" * 300, "z" * 50, "w")
+    rows = [(None, a), (7, a), (0, b), (None, b), (None, b), (3, c), (3, c), (3, c.upper()), (2, c), (None, d * 60), (None, d * 60), (9, d), (9, d)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.text_sha256[:4], str(r.doc_id), str(r.keep_id), r.group_size) for r in exact_dedup(odd).collect())
+    want = {t: max((i for i, u in rows if u.lower() == t and i is not None), default=None) for _, t in rows if t.islower()}
+    assert got == sorted((hashlib.sha256(t.lower().encode()).hexdigest()[:4], str(i), str(want[t.lower()]), sum(u.lower() == t.lower() for _, u in rows)) for i, t in rows)
+    assert sorted((str(r.doc_id), r.text.lower()) for r in drop_duplicates(odd).collect()) == sorted((str(i), t) for t, i in want.items())
+
+
 def shingles(text):
     words = (text or "").lower().split()
     return set(zip(*[words[k:] for k in range(5)], strict=False)) or ({tuple(words)} if words else set())
