@@ -24,10 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.shared import join_groups, sized_join, small_batches, trim, written
+from skarn.llm.shared import join_groups, single_rows, sized_join, small_batches, trim, written
 
 WORDS, THRESHOLD = 5, 0.8
 #: MinHash values are BANDS * ROWS; a pair at the threshold meets in no band with probability (1 - 0.8 ** 5) ** 32 < 3e-6.
@@ -101,7 +101,7 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """``doc``, ``set_a``, ``set_b`` (128 bits that name the set; null: no words), ``hashes``."""
+    """``doc``, ``mark`` (hash of the text), ``set_a``, ``set_b`` (128 bits that name the set; null: no words), ``hashes``."""
     import hashlib
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,13 +109,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 names, hashes = [], []
-                for s in shingle_sets(part.column(1), n):
+                for s in shingle_sets(part.column(2), n):
                     names.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist() if len(s) else (None, None))
                     hashes.append(min_hashes(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)), pa.array(hashes, pa.binary())], ["doc", "set_a", "set_b", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)), pa.array(hashes, pa.binary())], ["doc", "mark", "set_a", "set_b", "hashes"])
         trim()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(batches, "doc long, set_a long, set_b long, hashes binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), text_col).mapInArrow(batches, "doc long, mark long, set_a long, set_b long, hashes binary")
 
 
 def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
@@ -307,6 +307,10 @@ def links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return out
 
 
+def _known_id(doc: Column) -> Column:
+    return F.coalesce(doc, F.lit(2**63 - 1))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per document: id, ``class_id``, ``n_links``, ``n_text_links``.
 
@@ -314,14 +318,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whose sets of word ``n``-grams have a Jaccard similarity of ``threshold`` or more).
     ``n_links``: other documents linked to; ``n_text_links``: other sets linked to.
     A null text, or one without words, has no links and is its own class. Rows that
-    repeat an id are documents of their own with that id; equal ids of different texts
-    are told apart as copies only by their sets. Other columns are left out, whatever
-    their names; an empty table gives none.
+    repeat an id are documents of their own with that id; their texts' sets tell them apart. Other columns are left out, whatever
+    their names; an empty table gives none. A null id names a class only if all ids of
+    the class are null.
     """
+    found = classified(docs, id_col, text_col, n, threshold, block, tolerance)
+    return found.select(id_col, "class_id", "n_links", "n_text_links")
+
+
+def classified(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK, tolerance: float = TOLERANCE) -> DataFrame:
+    """:func:`near_duplicates` with ``mark``, a hash of the row's text, and ``class_no``, which tells classes apart (null: no words)."""
     small_batches(docs.sparkSession)
     marked = written(signatures(docs, id_col, text_col, n), "signatures")
     some = marked.where("set_a is not null")
-    sets = written(some.groupBy("set_a", "set_b").agg(F.min("doc").alias("rep"), F.count("*").alias("weight"), F.first("hashes").alias("hashes")), "sets")
+    # A row that has the set's text; ids may be null or stand for several texts, so sets are numbered (once, as they are written).
+    source = F.min(F.struct(_known_id(F.col("doc")).alias("id"), "mark")).alias("source")
+    sets = some.groupBy("set_a", "set_b").agg(F.min("doc").alias("low"), source, F.count("*").alias("weight"), F.first("hashes").alias("hashes"))
+    sets = written(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")
 
     def keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -340,9 +353,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = components(edges)
 
     sizes = comps.groupBy("root").agg(F.count("*").alias("size"))
-    placed = written(join_groups(comps, sizes, ["root"], "node").join(sets.select(F.col("rep").alias("node"), "weight"), "node").select(F.col("root").alias("comp"), "size", F.col("node").alias("doc"), "weight"), "component-members")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_text"))
-    chosen = sized_join(texts, placed, ["doc"]).select("comp", "size", "doc", "weight", "_text")
+    placed = written(join_groups(comps, sizes, ["root"], "node").join(sets.select(F.col("rep").alias("node"), "weight", "source.id", "source.mark"), "node").select(F.col("root").alias("comp"), "size", F.col("node").alias("doc"), "weight", "id", "mark"), "component-members")
+    texts = docs.select(_known_id(F.col(id_col).cast("long")).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("_text"))
+    chosen = sized_join(texts, placed, ["id", "mark"]).select("comp", "size", "doc", "weight", "_text")
+    if not some.groupBy(_known_id(F.col("doc")), "mark").count().where("count > 1").isEmpty():
+        chosen = chosen.dropDuplicates(["doc"])  # rows that repeat id and text
 
     def shingled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -358,19 +373,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     far = components(found.where("split and doc <> root").select(F.col("doc").alias("u"), F.col("root").alias("v")), "split-components")
     roots = counts.join(far.select(F.col("node").alias("doc"), F.col("root").alias("far")), "doc", "left")
     roots = roots.select(F.col("doc").alias("rep"), F.coalesce("far", "root").alias("root"), "texts", "docs")
-    classes = sets.select("set_a", "set_b", "rep", "weight").join(roots, "rep", "left")
-    out = marked.select("doc", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
+    roots = written(roots.join(sets.select("rep", "low"), "rep"), "roots")
+    lowest = roots.groupBy("root").agg(F.min("low").alias("lowest"), F.count("*").alias("size"))
+    roots = join_groups(roots, lowest, ["root"], "rep").select("rep", "root", "lowest", "texts", "docs")
+    classes = sets.select("set_a", "set_b", "rep", "low", "weight").join(roots, "rep", "left")
+    out = marked.select("doc", "mark", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
     return out.select(
         F.col("doc").alias(id_col),
-        F.coalesce("root", "rep", "doc").alias("class_id"),
+        "mark",
+        F.coalesce("root", "rep").alias("class_no"),
+        F.when(F.col("rep").isNull(), F.col("doc")).when(F.col("root").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("class_id"),
         (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("docs", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one whose id names it; see :func:`near_duplicates`."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = written(found.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).cast("long").alias("_gone")).distinct(), "near-duplicates")
+    """The rows of ``docs`` that stay: one of each class, that whose id names it; see :func:`near_duplicates`.
+
+    Of rows with that id the one whose text has the lowest hash, and of rows that repeat
+    both any one. Texts without words all stay.
+    """
+    found = written(classified(docs, id_col, text_col, **options).where("class_no is not null").select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark"), "class_no"), "near-classes")
+    order = F.struct(F.col("_id").isNull(), "_id", "_mark")
+    # Most classes are of one row; the rest's lowest rows are found by partial aggregates.
+    first = found.groupBy("class_no").agg(F.min(order).alias("first"), F.count("*").alias("size")).where("size > 1")
+    several = written(join_groups(found, first, ["class_no"], "_mark").select("_id", "_mark", (order == F.col("first")).alias("stays")), "near-rows")
+    gone = written(several.where("not stays").select("_id", "_mark").distinct(), "near-duplicates")
+    repeated = written(several.where("stays").groupBy("_id", "_mark").count().where("count > 1").select("_id", "_mark"), "near-repeated")
     small = gone.limit(1_000_001).count() <= 1_000_000
-    return docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    own, mark = docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    kept = docs.join(F.broadcast(gone) if small else gone, own.eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left_anti")
+    return single_rows(kept, repeated, own, mark)

@@ -202,6 +202,21 @@ def test_jaccard_join(docs, texts, nothing, block):
         assert near_duplicates(nothing).count() == 0
 
 
+def test_jaccard_join_of_null_and_repeated_ids(spark):
+    from skarn.llm.jaccard import near_duplicates, one_of_each
+
+    r = random.Random(21)
+    make = lambda: " ".join("".join(r.choices("abcdef", k=5)) for _ in range(80))
+    t, a, b, c, d = (make() for _ in range(5))
+    rows = [(1, t), (1, t), (2, t + " x"), (5, a), (5, b), (3, a + " x"), (9, b + " x"), (None, c), (None, c), (None, d), (8, d + " x"), (None, None), (4, make())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(x.doc_id), str(x.class_id), x.n_links) for x in near_duplicates(docs).collect())
+    want = [(1, 1, 2), (1, 1, 2), (2, 1, 2), (5, 3, 1), (3, 3, 1), (5, 5, 1), (9, 5, 1), (None, None, 1), (None, None, 1), (None, 8, 1), (8, 8, 1), (None, None, 0), (4, 4, 0)]
+    assert got == sorted((str(i), str(k), n) for i, k, n in want)
+    left = sorted(map(str, (tuple(x) for x in one_of_each(docs).collect())))
+    assert left == sorted(map(str, [(1, t), (3, a + " x"), (5, b), (None, c), (8, d + " x"), (None, None), (4, rows[-1][1])]))
+
+
 def test_large_near_copy_group(spark):
     from skarn.llm.jaccard import near_duplicates
 
