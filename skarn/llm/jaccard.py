@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.shared import join_groups, single_rows, sized_join, small_batches, trim, written
+from skarn.llm.shared import join_groups, single_rows, sized_join, slices, trim, written
 
 WORDS, THRESHOLD = 5, 0.8
 #: MinHash values are BANDS * ROWS; a pair at the threshold meets in no band with probability (1 - 0.8 ** 5) ** 32 < 3e-6.
@@ -105,14 +105,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
     import hashlib
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                names, hashes = [], []
-                for s in shingle_sets(part.column(2), n):
-                    names.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist() if len(s) else (None, None))
-                    hashes.append(min_hashes(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)), pa.array(hashes, pa.binary())], ["doc", "mark", "set_a", "set_b", "hashes"])
+        for part in slices(it):
+            names, hashes = [], []
+            for s in shingle_sets(part.column(2), n):
+                names.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist() if len(s) else (None, None))
+                hashes.append(min_hashes(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)), pa.array(hashes, pa.binary())], ["doc", "mark", "set_a", "set_b", "hashes"])
         trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), text_col).mapInArrow(batches, "doc long, mark long, set_a long, set_b long, hashes binary")
@@ -328,7 +326,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def classified(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, threshold: float = THRESHOLD, block: int = BLOCK, tolerance: float = TOLERANCE) -> DataFrame:
     """:func:`near_duplicates` with ``mark``, a hash of the row's text, and ``class_no``, which tells classes apart (null: no words)."""
-    small_batches(docs.sparkSession)
     marked = written(signatures(docs, id_col, text_col, n), "signatures")
     some = marked.where("set_a is not null")
     # A row that has the set's text; ids may be null or stand for several texts, so sets are numbered (once, as they are written).
@@ -360,10 +357,8 @@ def classified(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, thre
         chosen = chosen.dropDuplicates(["doc"])  # rows that repeat id and text
 
     def shingled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([s.tobytes() for s in shingle_sets(part.column(4), n)], pa.binary())], ["comp", "size", "doc", "weight", "shingles"])
+        for part in slices(it):
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([s.tobytes() for s in shingle_sets(part.column(4), n)], pa.binary())], ["comp", "size", "doc", "weight", "shingles"])
 
     rows = chosen.mapInArrow(shingled, "comp long, size long, doc long, weight long, shingles binary").withColumn("split", F.col("size") > block)
     rows = blocked(rows.select("comp", "size", "doc", "weight", "split", "shingles"), "comp", "size", "doc", block)

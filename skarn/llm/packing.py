@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.llm.bpe import encoder
-from skarn.llm.shared import small_batches, trim, written
+from skarn.llm.shared import slices, trim, written
 
 #: Lengths over this part of the capacity are large; groups that they are rounded in.
 LARGE_PART, GROUPS = 1 / 3, 96
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, seen, task = encoder(vocabulary), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4")
-        for b in it:
+        for b in slices(it):
             for first, after, ids, offsets in coder.encode(b.column(1)):
                 row, piece, start, length, crc, rank = [], [], [], [], [], []
                 for k in range(after - first):
@@ -221,7 +221,6 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
     on its own; other columns are left out, whatever their names; an empty table gives none.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     own = written(pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
     per_task = own.groupBy("length", "task").agg(F.count("*").alias("n"))
     counts = {int(r.length): int(r.n) for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows

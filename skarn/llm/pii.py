@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.shared import join_groups, small_batches, trim, written
+from skarn.llm.shared import join_groups, slices, trim, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information a term may give away; characters a term needs.
@@ -134,7 +134,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        for b in it:
+        for b in slices(it):
             base: dict[str, list] = {c: [] for c in ("row_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "spans")}
             held_by: dict[str, list] = {c: [] for c in ("row_id", "text_hash", "entities", "words")}
             for key, mark, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -185,7 +185,7 @@ def pairs(held: DataFrame, documents: int, words: DataFrame, mentions: DataFrame
         kinds = {"text_hash": pa.int64(), "entity": pa.string(), "term": pa.string()}
         batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], [*kinds])
 
-        for b in it:
+        for b in slices(it):
             for mark, own, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 counts = [(w, often.get(w, 0)) for w in words.split()]
                 for c in own.split():
@@ -204,7 +204,6 @@ def pairs(held: DataFrame, documents: int, words: DataFrame, mentions: DataFrame
 
 def terms_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
     """Base rows of all documents, and (``row_id``, ``text_hash``, ``terms``) of those with disclosing terms: their words."""
-    small_batches(docs.sparkSession)
     all_rows = written(scanned(docs, id_col, text_col), "sanitise")
     base = all_rows.where("tag = 0")
     held = all_rows.where("tag = 1")
@@ -243,7 +242,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     base, terms = terms_of(docs, id_col, text_col)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             texts, own = b.column(2).to_pylist(), b.column(3).to_pylist()
             found = [shown(("term", s, e) for s, e in located(t, x)) for t, x in zip(texts, own, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string())], ["row_id", "text_hash", "term_spans"])
@@ -276,7 +275,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     joined = with_terms(docs, terms, id_col, text_col, "left")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             place = b.schema.names.index(text_col)
             texts = b.column(place).to_pylist()
             terms = b.column(b.num_columns - 1).to_pylist()

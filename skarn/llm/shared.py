@@ -5,7 +5,11 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: A group is hot with over this many rows and over a thousandth of all; parts that a hot group's rows are dealt to.
 HOT_ROWS, HOT_GROUPS, SALTS = 1000, 1000, 64
+#: Bytes of text that a Python worker works on at once.
+SLICE_BYTES = 1_000_000
 
 
 @functools.cache
@@ -23,6 +29,8 @@ def _own_dir(application: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; one of our own, for as long as the application runs, only where none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
     return (base or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
 
 
@@ -77,11 +85,18 @@ def single_rows(docs: DataFrame, repeated: DataFrame, id_: Column, mark: Column)
     return keyed.join(repeated, on, "left_anti").unionByName(once).select(*docs.columns)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds the rows that go to Python workers at once: texts are long, and both sides hold a batch in memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, str(rows))
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of at most ``most`` bytes of strings, or of one row that alone has more."""
+    for b in batches:
+        size = np.ones(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        ends, first = np.cumsum(size), 0
+        while first < b.num_rows:
+            after = max(first + 1, int(np.searchsorted(ends, ends[first] - size[first] + most, "right")))
+            yield b.slice(first, after - first)
+            first = after
 
 
 def trim() -> None:
@@ -89,9 +104,7 @@ def trim() -> None:
     import ctypes
     import ctypes.util
 
-    import pyarrow
-
-    pyarrow.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(ctypes.util.find_library("c") or None)
     if hasattr(libc, "malloc_trim"):
         libc.malloc_trim(0)

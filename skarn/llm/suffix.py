@@ -30,23 +30,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.jaccard import bounds_of, by_group, mix
-from skarn.llm.shared import join_groups, sized_join, small_batches, trim, written
+from skarn.llm.shared import join_groups, sized_join, slices, trim, written
 
 #: Bytes of a string that counts, and of a seed within it.
 LENGTH, SEED = 50, 24
 WINDOW = LENGTH - SEED + 1
+#: Most bytes of a run of suffixes with one seed.
+MOST = LENGTH + WINDOW - 1
 #: Words of eight bytes that multikey quicksort goes through before blind tries take over.
 SHALLOW_WORDS = 2
-#: Fewest and most bits of the filter of shared seeds (8 and 64 MB), bits it has for each seed in between, and its hash functions.
+#: Fewest and most bits of the filter of shared seeds (8 and 64 MB), bits for each seed in between, hash functions.
 FILTER_BITS, MOST_FILTER_BITS, SEED_BITS, FILTER_HASHES = 1 << 26, 1 << 29, 8, 3
 #: Bits of the filter that are collected as one row.
 PAGE_BITS = 1 << 15
-#: Fewest buckets that seed lists are dealt to, most bytes of text to a bucket (a fourteenth as many seeds); bytes of text worked on at once.
-BUCKETS, BUCKET_BYTES, SLICE_BYTES = 256, 16_000_000, 4_000_000
+#: Seeds whose bits go to the pages together.
+MARKED = 500_000
+#: Fewest buckets that seed lists are dealt to, most bytes of text to a bucket (a fourteenth as many seeds).
+BUCKETS, BUCKET_BYTES = 256, 16_000_000
+#: Bytes of text worked on at once; bytes of runs within which a task settles equal ones before they travel.
+SLICE_BYTES, HELD_BYTES = 1_000_000, 8_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -102,10 +109,6 @@ class Runs:
         self.count = np.diff(np.append(first, len(suffix)))
         self.pre = at[first] - self.begin  # the seed's offset in it
 
-    def bytes_of(self, k: int) -> bytes:
-        a = self.begin[k]
-        return self.data[a : a + self.count[k] - 1 + LENGTH].tobytes()
-
 
 def runs_of(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, Runs]]:
     """Of slices of texts: first row, row and place within its text of each stretch of ``data``, runs.
@@ -153,7 +156,7 @@ def packed_seeds(docs: DataFrame, bits: int) -> DataFrame:
     """``bucket`` (the first ``bits``, at least 8, of its seeds), ``many``, ``seeds``: distinct seeds of each batch, those of several documents apart; 48 bits of each."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it, BUCKET_BYTES):
             seeds, owner = [], []
             for row, _, runs in runs_of(b.column(1)):
                 seeds.append(short_seeds(runs.seed))
@@ -214,14 +217,24 @@ def shared_filter(docs: DataFrame) -> np.ndarray:
     found = written(shared_seeds(docs, bucket_bits(docs)), "suffix-seeds")
     total = filter_size(found.agg(F.sum("n")).first()[0] or 0)
 
+    def marked(seeds: list[np.ndarray]) -> pa.RecordBatch:
+        at = np.unique(filter_bits(np.concatenate(seeds), total))
+        page = at // PAGE_BITS
+        cut = np.append(np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1]])), len(page))
+        places = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((2 * cut).astype(np.int32)), pa.py_buffer((at % PAGE_BITS).astype("<u2"))])
+        return pa.RecordBatch.from_arrays([pa.array(page[cut[:-1]], pa.int32()), places], ["page", "places"])
+
     def placed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        held, n = [], 0
+        for b in slices(it, SLICE_BYTES):
             for raw in b.column(0).to_pylist():
-                at = np.unique(filter_bits(np.frombuffer(raw, np.uint64), total))
-                page = at // PAGE_BITS
-                cut = np.append(np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1]])), len(page)).tolist()
-                places = (at % PAGE_BITS).astype("<u2")
-                yield pa.RecordBatch.from_arrays([pa.array(page[cut[:-1]], pa.int32()), pa.array([places[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary())], ["page", "places"])
+                held.append(np.frombuffer(raw, np.uint64))
+                n += len(held[-1])
+                if n > MARKED:
+                    yield marked(held)
+                    held, n = [], 0
+        if held:
+            yield marked(held)
 
     def paged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_group(it, 1):
@@ -249,53 +262,83 @@ def filter_bits(seed: np.ndarray, total: int) -> np.ndarray:
     return np.stack([(mix(seed + np.uint64((k + 1) * int(_P) % 2**64)) >> shift).astype(np.int64) for k in range(FILTER_HASHES)], 1)
 
 
-def led(seed: np.ndarray, pre: np.ndarray, doc: np.ndarray, text: list[bytes]) -> np.ndarray:
-    """Of each run, a run of the smallest document with the same seed at the same place and the same bytes."""
-    # A hash of the bytes brings equals together; the bytes themselves are compared after.
-    mark = np.fromiter((int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in text), np.uint64, len(text))
-    order = np.lexsort((doc, mark, pre, seed))
-    new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in (seed, pre, mark)])
-    heads = np.flatnonzero(new)
-    leader = np.empty(len(order), np.int64)
-    leader[order] = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
-    for k in np.flatnonzero(leader != np.arange(len(leader))).tolist():
-        if text[k] != text[leader[k]]:
-            leader[k] = k
+def byte_rows(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Strings of at most ``MOST`` bytes as rows of a matrix, filled up with zeros."""
+    padded = np.concatenate([data, np.zeros(MOST, np.uint8)])
+    out = sliding_window_view(padded, MOST)[begin]
+    out[np.arange(MOST) >= size[:, None]] = 0
+    return out
+
+
+def rows_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A binary array without nulls as a matrix (see :func:`byte_rows`), and the sizes."""
+    text = text.cast(pa.large_binary())
+    at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2], np.uint8)[at[0] : at[-1]] if len(text) else np.zeros(0, np.uint8)
+    size = np.diff(at)
+    return byte_rows(data, at[:-1] - at[0] if len(text) else at[:0], size), size
+
+
+def binary_of(rows: np.ndarray, size: np.ndarray, none: np.ndarray) -> pa.Array:
+    """Rows of a matrix as a binary array, null where ``none``."""
+    size = np.where(none, 0, size)
+    data = rows[np.arange(rows.shape[1]) < size[:, None]]
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    valid = pa.py_buffer(np.packbits(~none, bitorder="little"))
+    return pa.Array.from_buffers(pa.binary(), len(size), [valid, pa.py_buffer(offsets), pa.py_buffer(data)], int(none.sum()))
+
+
+def led(seed: np.ndarray, pre: np.ndarray, doc: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each run, a run of the smallest document with the same seed at the same place and the same bytes.
+
+    Runs of a size, seed and place are sorted like suffixes; equal ones share a leaf.
+    """
+    n = len(seed)
+    order = np.lexsort((size, pre, seed))
+    new = np.zeros(n, np.int64)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in (seed, pre, size)])
+    segment = np.empty(n, np.int64)
+    segment[order] = np.cumsum(new)
+    order, leaf = sorted_suffixes(rows, segment)
+    order = order[np.lexsort((doc[order], leaf))]  # leaves are numbered in their order
+    heads = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]])) if n else order
+    leader = np.empty(n, np.int64)
+    leader[order] = np.repeat(order[heads], np.diff(np.append(heads, n)))
     return leader
 
 
 def candidate_rows(docs: DataFrame, shared: np.ndarray) -> DataFrame:
     """Runs whose seed the filter has: ``seed``, ``pre``, ``doc``, ``start``, ``text``; a null ``text`` is a span to remove.
 
-    Of runs of equal bytes in a batch only those of the smallest document go on; the
-    others are spans to remove, from ``start`` on, ``pre`` bytes long.
+    Of runs of equal bytes among ``HELD_BYTES`` only those of the smallest document go on;
+    the others are spans to remove, from ``start`` on, ``pre`` bytes long.
     """
-    held = docs.sparkSession.sparkContext.broadcast(shared)  # of bounded size
+    shared_bits = docs.sparkSession.sparkContext.broadcast(shared)  # of bounded size
+
+    def settled(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        seed, pre, doc, start, size, rows = map(np.concatenate, zip(*held, strict=True))
+        leader = led(seed, pre, doc, rows, size)
+        gone = doc > doc[leader]
+        columns = [pa.array(seed), pa.array(np.where(gone, size, pre)), pa.array(doc), pa.array(start), binary_of(rows, size, gone)]
+        return pa.RecordBatch.from_arrays(columns, ["seed", "pre", "doc", "start", "text"])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
-        for b in it:
+        bits, held, size = shared_bits.value, [], 0
+        for b in slices(it, SLICE_BYTES):
             ids = b.column(0).to_numpy()
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            text: list[bytes] = []
             for row, place, runs in runs_of(b.column(1)):
                 at = filter_bits(short_seeds(runs.seed), len(bits) * 32)
                 hit = np.flatnonzero(((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(1))
-                own = runs.doc[hit]
-                for c, v in zip(cols, (runs.seed[hit].view(np.int64), runs.pre[hit], ids[row[own]], place[own] + runs.at[hit]), strict=True):
-                    c.append(v)
-                text += [runs.bytes_of(k) for k in hit.tolist()]
-            if not text:
-                continue
-            seed, pre, doc, start = map(np.concatenate, cols)
-            leader = led(seed, pre, doc, text)
-            gone = doc > doc[leader]
-            size = np.fromiter(map(len, text), np.int64, len(text))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seed), pa.array(np.where(gone, size, pre)), pa.array(doc), pa.array(start), pa.array([None if g else t for g, t in zip(gone.tolist(), text, strict=True)], pa.binary())],
-                ["seed", "pre", "doc", "start", "text"],
-            )
+                own, long = runs.doc[hit], runs.count[hit] + LENGTH - 1
+                rows = byte_rows(runs.data, runs.begin[hit], long)
+                held.append((runs.seed[hit].view(np.int64), runs.pre[hit], ids[row[own]], place[own] + runs.at[hit], long, rows))
+                size += rows.nbytes
+                if size > HELD_BYTES:
+                    yield settled(held)
+                    held, size = [], 0
+        if held:
+            yield settled(held)
+        held.clear()
         trim()
 
     return docs.mapInArrow(batches, "seed long, pre long, doc long, start long, text binary")
@@ -385,15 +428,14 @@ def smallest_of_equals(data: np.ndarray, segment: np.ndarray, doc: np.ndarray) -
     return out
 
 
-def removed_spans(rows: DataFrame) -> DataFrame:
+def removed_spans(runs: DataFrame) -> DataFrame:
     """``doc``, ``start``, ``end`` of what smaller documents have too, from runs sorted by seed."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_group(it, 1):
             seed, pre, doc, start = (b.column(k).to_numpy() for k in range(4))
-            text = b.column(4).to_pylist()
-            size = np.fromiter(map(len, text), np.int64, len(text))
-            leader = led(seed, pre, doc, text)
+            rows, size = rows_of(b.column(4))
+            leader = led(seed, pre, doc, rows, size)
             gone = doc > doc[leader]
             out = [(doc[gone], start[gone], start[gone] + size[gone])]
             # Of the rest, seeds with different runs are compared suffix by suffix, each different run once.
@@ -404,11 +446,9 @@ def removed_spans(rows: DataFrame) -> DataFrame:
             heads = heads[several[number[heads]]]
             for part in chunks(heads, number[heads], size[heads] - LENGTH + 1):
                 count = size[part] - LENGTH + 1
-                base = np.cumsum(size[part]) - size[part]
-                flat = np.frombuffer(b"".join([text[k] for k in part.tolist()]), np.uint8)
                 owner = np.repeat(np.arange(len(part)), count)
                 step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-                data = flat[(base[owner] + step)[:, None] + np.arange(LENGTH)]
+                data = sliding_window_view(rows[part], LENGTH, axis=1)[owner, step]
                 segment = number[part][owner] * WINDOW + (pre[part][owner] - step)
                 hit = smallest_of_equals(data, segment, doc[part][owner]) < doc[part][owner]
                 # Hits that follow each other within a run are one span.
@@ -424,10 +464,10 @@ def removed_spans(rows: DataFrame) -> DataFrame:
                 out.append((doc[each], start[each] + np.repeat(lo, times), start[each] + np.repeat(hi, times)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["doc", "start", "end"])
 
-    return rows.mapInArrow(batches, "doc long, start long, end long")
+    return runs.mapInArrow(batches, "doc long, start long, end long")
 
 
-def chunks(rows: np.ndarray, group: np.ndarray, weight: np.ndarray, most: int = 400_000) -> Iterator[np.ndarray]:
+def chunks(rows: np.ndarray, group: np.ndarray, weight: np.ndarray, most: int = 200_000) -> Iterator[np.ndarray]:
     """Rows in parts of about ``most`` weight; a group stays in one part."""
     if not len(rows):
         return
@@ -444,14 +484,15 @@ def single_suffixes(rows: DataFrame) -> DataFrame:
     """Runs taken apart: ``doc``, ``start``, ``text`` of ``LENGTH`` bytes of each suffix."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            doc, start, text = [], [], []
-            for d, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for k in range(len(t) - LENGTH + 1):
-                    doc.append(d)
-                    start.append(s + k)
-                    text.append(t[k : k + LENGTH])
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(text, pa.binary())], ["doc", "start", "text"])
+        for b in slices(it, SLICE_BYTES):
+            rows, size = rows_of(b.column(2))
+            count = size - LENGTH + 1
+            owner = np.repeat(np.arange(len(count)), count)
+            step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            data = sliding_window_view(rows, LENGTH, axis=1)[owner, step]
+            text = binary_of(data, np.full(len(owner), LENGTH), np.zeros(len(owner), bool))
+            doc, start = (b.column(k).to_numpy()[owner] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start + step), text], ["doc", "start", "text"])
 
     return rows.select("doc", "start", "text").mapInArrow(batches, "doc long, start long, text binary")
 
@@ -497,7 +538,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     either loses at its place. Other columns are left out, whatever their names; an empty
     table gives none.
     """
-    small_batches(docs.sparkSession, 5000)
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = written(candidate_rows(own, shared_filter(own)), "suffix-rows")
     live = rows.where("text is not null")
@@ -511,7 +551,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = own.join(F.broadcast(spans) if size <= MOST_BROADCAST else spans, "doc", "left").select("doc", "text", "spans")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it, SLICE_BYTES):
             n, gone, count, kept = [], [], [], []
             for text, raw in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
                 at, parts, pairs = 0, [], np.frombuffer(raw or b"", "<i8").reshape(-1, 2).tolist()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.llm.bpe import encoder
-from skarn.llm.shared import new_path, qualified, small_batches, trim, written
+from skarn.llm.shared import new_path, qualified, slices, trim, written
 
 #: Ids of a row, rows of a batch, ids after which a task begins another file.
 ROW, BATCH_ROWS, FILE_IDS = 2048, 256, 64_000_000
@@ -85,7 +85,6 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_
     their names. An empty table writes no file.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     base = qualified(spark, to or new_path(spark, "token-files"))
     id_type = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
@@ -98,7 +97,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_
         coder = encoder(vocabulary)
         width = np.dtype("u2" if len(coder.tokens) <= 65_536 and end_id < 65_536 else "u4")
         made, writer = [], None
-        for b in it:
+        for b in slices(it):
             for first, after, ids, offsets in coder.encode(b.column(1)):
                 writer = writer or _Writer(base, width, arrow_id, row)
                 n = after - first

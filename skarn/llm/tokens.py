@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from skarn.llm.bpe import encoder
-from skarn.llm.shared import small_batches
+from skarn.llm.shared import slices, trim
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,12 +24,12 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
-        for b in it:
+        for b in slices(it):
             for first, after, ids, offsets in coder.encode(b.column(1)):
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype("i4")))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, after - first), lists], [id_col, "ids"])
+        trim()
 
-    small_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(batches, schema.add("ids", ArrayType(IntegerType())))
 
 
@@ -43,7 +43,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
-        for b in it:
+        for b in slices(it):
             n, hashes, decoded = [], [], []
             for first, after, ids, offsets in coder.encode(b.column(1)):
                 for k in range(after - first):
@@ -52,6 +52,6 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                     hashes.append(hashlib.sha256(own.astype("<u4", copy=False).tobytes()).hexdigest())
                     decoded.append(hashlib.sha256(coder.decode(own).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], schema.names)
+        trim()
 
-    small_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(batches, schema)
