@@ -8,10 +8,11 @@ go is a table of counts by length, of at most ``capacity`` rows whatever the cor
 2. The rounded problem has few sizes. A linear programme over configurations (how many
    pieces of each size share a sequence) is solved by column generation, and rounded
    down; what is left over joins the sequences best-fit.
-3. Actual pieces take the places of the rounded ones by their rank within their length,
-   all but the shortest of each configuration. They leave more room than planned.
-4. The shortest and the small pieces, longest first, go best-fit into what room there is,
-   then to new sequences.
+3. Actual pieces take the places of the rounded ones, each the longest left that its
+   place was planned for; a configuration's last one, the longest that the others leave
+   room for, unless a sliver of room would be left. Which piece of a length goes where is told by its rank within the length.
+4. What is left over and the small pieces, longest first, go best-fit into
+   what room there is, then to new sequences.
 
 Ranks within a length are counted per task and summed over tasks, so no group is gathered.
 """
@@ -19,6 +20,7 @@ Ranks within a length are counted per task and summed over tasks, so no group is
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,9 @@ from skarn.llm.bpe import encoder
 from skarn.llm.shared import slices, trim, written
 
 #: Lengths over this part of the capacity are large; groups that they are rounded in.
-LARGE_PART, GROUPS = 1 / 3, 96
+LARGE_PART, GROUPS = 1 / 6, 64
+#: A configuration's last place waits for the best fit rather than leave a room below this, but not none: few pieces would fit there.
+SLIVER = 30
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,12 +132,13 @@ class Plan:
         self.rows: list[tuple[int, int, int, int, int]] = []  # length, first rank, pieces, first sequence, pieces a sequence
         self.taken = dict.fromkeys(counts, 0)
         self.rooms: dict[int, list[tuple[int, int]]] = {}  # room left: runs of sequences
-        self.sequences = 0
+        self.sequences = self.configured = 0
         left = dict(counts)
         if n := left.pop(capacity, 0):
             self.put(capacity, self.new(n), n, 1)
         large = {s: c for s, c in left.items() if s > capacity * large_part}
         self.substitute(large, capacity, groups)
+        self.configured = sum(self.taken[s] for s in large)  # large pieces that configurations placed
         for s in sorted(left, reverse=True):
             self.best_fit(s, left[s] - self.taken[s], capacity)
 
@@ -162,28 +167,32 @@ class Plan:
                 part = min(n, room)
                 queues[-1].append([s, part])
                 n, room = n - part, room - part
-        merged: dict[int, list[list[int]]] = {}
+        demand: dict[int, int] = {}
         for q in queues:
-            merged.setdefault(q[0][0], []).extend(q)
-        sizes = sorted(merged, reverse=True)
-        for column, times in configurations(sizes, [sum(n for _, n in merged[s]) for s in sizes], capacity):
+            demand[q[0][0]] = demand.get(q[0][0], 0) + sum(n for _, n in q)
+        sizes = sorted(demand, reverse=True)
+        left = dict(large)
+        lengths = sorted(large)
+        for column, times in configurations(sizes, [demand[s] for s in sizes], capacity):
             runs = [(self.new(times), times, capacity)]
-            used = np.flatnonzero(column)
-            for i in used:
-                for _ in range(column[i] - (i == used[-1] and column.sum() > 1)):  # the shortest stays out, for the best fit  # one place of this size in each sequence of the run
-                    after = []
-                    for first, n, room in runs:
-                        while n:
-                            length, have = merged[sizes[i]][0]
-                            part = min(n, have)
-                            self.put(length, first, part, 1)
-                            after.append((first, part, room - length))
-                            first, n = first + part, n - part
-                            if part == have:
-                                merged[sizes[i]].pop(0)
-                            else:
-                                merged[sizes[i]][0][1] -= part
-                    runs = after
+            places = [sizes[i] for i in np.flatnonzero(column) for _ in range(column[i])]
+            for k, planned in enumerate(places, 1):
+                after = []
+                for first, n, room in runs:
+                    while n:
+                        # No piece planned for was longer than its place, so one that fits is always left.
+                        length = lengths[bisect_right(lengths, room if k == len(places) else planned) - 1]
+                        if 1 < k == len(places) and 0 < room - length < SLIVER:
+                            after.append((first, n, room))
+                            break
+                        part = min(n, left[length])
+                        self.put(length, first, part, 1)
+                        after.append((first, part, room - length))
+                        first, n = first + part, n - part
+                        left[length] -= part
+                        if not left[length]:
+                            lengths.remove(length)
+                runs = after
             for first, n, room in runs:
                 self.rooms.setdefault(room, []).append((first, n))
 
