@@ -9,8 +9,9 @@ worked out once, into one table for all languages; scoring a text is looking up
 bytes' contexts in it. The language whose statistics code the text shortest wins.
 
 Trees are fitted on a bounded sample, the one exception: at most ``per_language``
-documents of each language, chosen by a hash of text, and ``text_bytes`` of each.
-Scoring reads whole texts.
+different texts of each language, chosen by a hash of the text and read whole. All
+languages are learned, in blocks of :data:`BLOCK`, each a model of bounded size; the
+texts are scored block by block, and scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -21,16 +22,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Longest context in bytes; bound of the sample: documents of each language, bytes of each, languages.
-DEPTH, PER_LANGUAGE, TEXT_BYTES, LANGUAGES = 3, 600, 4096, 64
-#: A context is kept in the tree when this many bytes followed it in the sample.
-LEAST_COUNT = 8
-#: Bytes scored at once.
-SLICE_BYTES = 2_000_000
+from skarn.llm.shared import fresh, slices, trim, written
+
+#: Longest context in bytes; bound of the sample: different texts of each language; languages of a model.
+DEPTH, PER_LANGUAGE, BLOCK = 3, 600, 16
+#: A context is kept in the tree when this many bytes followed it in the sample; twice as many, and so on, where a model's table would be larger than so many bytes.
+LEAST_COUNT, MODEL_BYTES = 8, 64_000_000
+#: Bytes of text whose strings are counted at once.
+COUNTED_BYTES = 1_000_000
+#: Bytes of evidence that a score stands for, whatever the length of the text.
+SCORE_BYTES = 4
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -46,38 +51,46 @@ class Model:
     bits: np.ndarray
 
 
-def sample(labelled: DataFrame, per_language: int, id_hash: F.Column, lang_col: str) -> DataFrame:
-    """At most ``per_language`` rows of each language, those of the smallest hashes; others drop out before the sort."""
-    sizes = labelled.groupBy(lang_col).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), lang_col).limit(LANGUAGES)
-    kept = labelled.join(F.broadcast(sizes), lang_col).withColumn("_h", F.pmod(id_hash, F.lit(1 << 30)))
-    # Twice the share that the bound needs: enough rows remain, and the window sees few.
-    kept = kept.where(F.col("_h") * F.col("_n") < F.lit(2.0 * per_language) * F.lit(1 << 30))
-    first = F.row_number().over(Window.partitionBy(lang_col).orderBy("_h"))
-    return kept.withColumn("_k", first).where(F.col("_k") <= per_language).drop("_n", "_h", "_k")
+def sample(labelled: DataFrame, per_language: int) -> DataFrame:
+    """At most ``per_language`` different texts of each ``lang``, those of the smallest hashes; others drop out before the sort."""
+    hashed = labelled.withColumn("_h", F.xxhash64("text"))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n"))
+    # Three times the share of hashes that the bound needs: enough texts remain, and the window sees few.
+    share = F.pmod("_h", F.lit(1 << 30)) * F.col("_n") < F.lit(3.0 * per_language) * F.lit(1 << 30)
+    kept = hashed.join(sizes, "lang").where(share).groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 30)), "_h"))
+    return kept.withColumn("_k", first).where(F.col("_k") <= per_language).select("lang", "text")
 
 
-def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = PER_LANGUAGE, text_bytes: int = TEXT_BYTES) -> Model:
-    """Context trees of every language of ``labelled``; rows without a language or text are left out.
+def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = PER_LANGUAGE, block: int = BLOCK) -> list[Model]:
+    """Context trees of every language of ``labelled``, a model for each ``block`` of them; rows without a language or text are left out.
 
-    No such rows: a model of no language, which predicts ``und``.
+    No such rows: no model, which predicts ``und``.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, dict[int, int]] = {}
-        for b in it:
+        for b in slices(it):
+            counts: dict[str, dict[int, int]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = counts.setdefault(lang, {})
-                raw = np.frombuffer(b"\0" * DEPTH + text.encode()[:text_bytes], np.uint8).astype(np.int64)
-                code = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-                for g, n in zip(*(x.tolist() for x in np.unique(code, return_counts=True)), strict=True):
-                    own[g] = own.get(g, 0) + n
-        for lang, own in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.int64())], ["lang", "gram", "n"])
-
-    chosen = sample(rows, per_language, F.xxhash64("text"), "lang")
-    found = chosen.mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
-    return build(found.column("lang").to_pylist(), found.column("gram").to_numpy(), found.column("n").to_numpy())
+                raw = np.frombuffer(b"\0" * DEPTH + text.encode(), np.uint8)
+                for at in range(0, len(raw) - DEPTH, COUNTED_BYTES):
+                    part = raw[at : at + COUNTED_BYTES + DEPTH].astype(np.int64)
+                    code = (part[:-3] << 24) | (part[1:-2] << 16) | (part[2:-1] << 8) | part[3:]
+                    for g, n in zip(*(x.tolist() for x in np.unique(code, return_counts=True)), strict=True):
+                        own[g] = own.get(g, 0) + n
+            for lang, own in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.int64())], ["lang", "gram", "n"])
+
+    chosen = sample(rows, per_language)
+    found = written(chosen.mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-counts")
+    languages = sorted(r.lang for r in found.select("lang").distinct().collect())
+    models = []
+    for at in range(0, len(languages), block):
+        own = found.where(F.col("lang").isin(languages[at : at + block])).toArrow()  # bounded by the sample
+        models.append(build(own.column("lang").to_pylist(), own.column("gram").to_numpy(), own.column("n").to_numpy()))
+    return models
 
 
 def build(langs: list[str], grams: np.ndarray, counts: np.ndarray) -> Model:
@@ -94,14 +107,17 @@ def build(langs: list[str], grams: np.ndarray, counts: np.ndarray) -> Model:
     sym = symbol[raw]
     # Contexts: strings of up to three symbols, none of them 0, coded in base a; each depth is kept where seen often.
     followed = sym[:, 3] > 0
-    contexts: list[np.ndarray] = [np.zeros(1, np.int64)]
+    found = []
     for d in range(1, DEPTH + 1):
         part = sym[:, DEPTH - d : DEPTH]
         ok = followed & (part > 0).all(1)
         codes = part[ok] @ (a ** np.arange(d - 1, -1, -1))
         value, where = np.unique(codes, return_inverse=True)
-        seen = np.bincount(where, counts[ok], len(value))
-        contexts.append(value[seen >= LEAST_COUNT])
+        found.append((value, np.bincount(where, counts[ok], len(value))))
+    least = LEAST_COUNT
+    while sum((seen >= least).sum() for _, seen in found) * a * max(1, len(languages)) * 4 > MODEL_BYTES:
+        least *= 2
+    contexts = [np.zeros(1, np.int64), *(value[seen >= least] for value, seen in found)]
     first = np.cumsum([0, *(len(c) for c in contexts)])
     states = int(first[-1])
 
@@ -186,39 +202,53 @@ def score_bytes(model: Model, data: np.ndarray, starts: np.ndarray) -> np.ndarra
     return np.add.reduceat(bits, starts, axis=0, dtype=np.float64)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, models: list[Model], text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``lang_pred`` and ``score``.
 
     ``lang_pred``: the language that codes the whole text shortest (of equals the first by
     name); ``und`` with score 0 for a null text, one without a letter, or no language
-    learned. ``score``: the share of that language when code lengths are turned into
-    probabilities. Every row is judged on its own; an empty table gives none.
+    learned. ``score``: the share of that language when code lengths per byte, taken for
+    :data:`SCORE_BYTES` bytes, are turned into probabilities. Every row is judged on its
+    own; other columns stay, but for those with the names of the results; an empty table
+    gives none.
     """
     rest = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
-    schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double")
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    lang, bits, mass = fresh(docs, "lang_pred", "bits", "mass")
+    rows = docs.select(*rest, F.lit("und").alias(lang), F.lit(None).cast("double").alias(bits), F.lit(0.0).alias(mass), F.col(text_col))
+    for k, model in enumerate(models):
+        rows = scored(rows if k == 0 else written(rows, "languages"), model, k == len(models) - 1)
+    score = F.when(F.col(mass) > 0, F.least(F.lit(1.0), 1 / F.col(mass))).otherwise(0.0)
+    return rows.select(*rest, F.col(lang).alias("lang_pred"), score.alias("score"))
+
+
+def scored(rows: DataFrame, model: Model, last: bool) -> DataFrame:
+    """``rows`` after one more model: their last four columns are the best language so far, its bits a byte, the mass of all languages by its own, and the text (not after the ``last``)."""
+    schema = StructType(rows.schema.fields[:-1]) if last else rows.schema
+    held = rows.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_BYTES
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         gap = b"\0" * DEPTH
-        for b in it:
-            texts = b.column(b.num_columns - 1)
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            pred, score = ["und"] * len(sizes), np.zeros(len(sizes))
-            ends, first = np.cumsum(sizes), 0
-            while first < len(sizes):
-                after = max(first + 1, int(np.searchsorted(ends, ends[first] - sizes[first] + SLICE_BYTES, "right")))
-                own = [(k, t) for k, t in enumerate(texts.slice(first, after - first).to_pylist(), first) if t and _LETTER.search(t)]
-                if own and m.languages:
-                    raw = [t.encode() for _, t in own]
-                    data = np.frombuffer(gap + gap.join(raw), np.uint8)
-                    starts = np.cumsum([0, *(len(r) + DEPTH for r in raw[:-1])])
-                    total = score_bytes(m, data, starts)
-                    best = total.argmin(1)
-                    share = 1 / np.exp2(np.clip(total.min(1)[:, None] - total, -1000, 0)).sum(1)
-                    for (k, _), i, s in zip(own, best, share, strict=True):
-                        pred[k], score[k] = m.languages[i], min(1.0, s)
-                first = after
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score)], schema.names)
-
-    return docs.select(*rest, text_col).mapInArrow(batches, schema)
+        for b in slices(it):
+            n = b.num_columns
+            pred, before, mass = (b.column(n - 4 + k).to_pylist() for k in range(3))
+            own = [(k, t) for k, t in enumerate(b.column(n - 1).to_pylist()) if t and _LETTER.search(t)]
+            if own:
+                raw = [t.encode() for _, t in own]
+                data = np.frombuffer(gap + gap.join(raw), np.uint8)
+                starts = np.cumsum([0, *(len(r) + DEPTH for r in raw[:-1])])
+                total = score_bytes(m, data, starts) / np.array([len(r) for r in raw])[:, None]
+                best = total.argmin(1)
+                least = total.min(1)
+                share = np.exp2((least[:, None] - total) * SCORE_BYTES).sum(1)
+                for (k, _), i, x, s in zip(own, best.tolist(), least.tolist(), share.tolist(), strict=True):
+                    old = before[k]
+                    if old is None or x < old:
+                        pred[k], before[k], mass[k] = m.languages[i], x, s + (0 if old is None else mass[k] * 2 ** max(-1000.0, (x - old) * SCORE_BYTES))
+                    else:
+                        mass[k] += s * 2 ** max(-1000.0, (old - x) * SCORE_BYTES)
+            found = [pa.array(pred, pa.string()), pa.array(before, pa.float64()), pa.array(mass, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-4], *found, *b.columns[n - 1 :][: not last]], schema.names)
+        trim()
+
+    return rows.mapInArrow(batches, schema)

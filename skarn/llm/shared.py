@@ -75,6 +75,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], spread: str,
     return rows.join(F.broadcast(listed), on, "left").withColumn("_salt", salt).join(salted, [*on, "_salt"]).drop("_hot", "_salt")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def single_rows(docs: DataFrame, repeated: DataFrame, id_: Column, mark: Column) -> DataFrame:
     """``docs`` with one row of each ``_id``, ``_mark`` in the written table ``repeated``; others as they are."""
     if repeated.isEmpty():
