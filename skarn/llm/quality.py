@@ -11,12 +11,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Frequent short words of English, German, French and Spanish (fixed values).
+from skarn.llm.shared import fresh
+
+#: Frequent short words of English, German, French, Spanish, Italian, Portuguese, Dutch, Polish and Russian (fixed values).
 STOP_WORDS = (
     "a", "an", "and", "are", "as", "be", "by", "for", "from", "in", "is", "it", "of", "on", "that", "the", "this", "to", "was", "with",
     "auf", "das", "dem", "den", "der", "des", "die", "ein", "eine", "im", "mit", "nicht", "sich", "und", "von", "zu",
     "au", "dans", "de", "du", "elle", "en", "et", "la", "le", "les", "par", "pas", "pour", "que", "qui", "sur", "un", "une",
     "al", "con", "del", "el", "los", "las", "no", "para", "por", "se", "su", "una", "y",
+    "che", "di", "e", "gli", "i", "il", "lo", "non", "per", "si",
+    "ao", "com", "da", "do", "dos", "em", "mais", "na", "o", "os", "um", "uma",
+    "dat", "een", "het", "met", "niet", "op", "te", "van", "voor", "zijn",
+    "jest", "nie", "od", "po", "przez", "to", "za",
+    "в", "для", "и", "из", "как", "к", "на", "не", "о", "от", "по", "с", "что", "это",
 )
 
 #: (name, metric, lowest value that passes, highest value that passes); None: no bound.
@@ -29,8 +36,6 @@ RULES = (
 )
 
 BLANK, NOT_BLANK = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
-#: Low bits that hold a position beside a hash: texts of up to 16 million words are compared by hash first.
-_PLACE = 24
 
 
 def compile_rules(rules=RULES) -> Column:
@@ -42,47 +47,48 @@ def compile_rules(rules=RULES) -> Column:
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of ``docs``, then the metrics that rules can name; columns with the metrics' names are replaced."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words, n = F.col("_words"), F.size("_words")
-    mask = F.lit((1 << _PLACE) - 1)
+    words_, lines_, coded_, near_, places_, n_lines_, n_stop_ = fresh(docs, "words", "lines", "coded", "near", "places", "n_lines", "n_stop")
+    words, n = F.col(words_), F.size(words_)
+    # Windows that another one may equal are found by hash, then compared.
     window = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    coded = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.shiftleft(window(i), _PLACE).bitwiseOR(i.cast("long"))))
-    code = lambda k: F.get(F.col("_coded"), k)
-    pairs = F.filter(F.sequence(F.lit(0), F.size("_coded") - 2), lambda k: F.shiftright(code(k).bitwiseXOR(code(k + 1)), _PLACE) == 0)
-    suspects = F.transform(F.array_distinct(F.flatten(F.transform(pairs, lambda k: F.array(code(k), code(k + 1))))), lambda x: x.bitwiseAND(mask).cast("int"))
+    coded = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(window(i).alias("h"), i.alias("p"))))
+    code = lambda k: F.get(F.col(coded_), k)
+    like = lambda x, k: F.coalesce(x["h"] == code(k)["h"], F.lit(False))
+    suspects = F.transform(F.filter(F.col(coded_), lambda x, k: like(x, k + 1) | like(x, k - 1)), lambda x: x["p"])
     compared = F.sort_array(F.transform(suspects, lambda p: F.struct(F.get(words, p).alias("a"), F.get(words, p + 1).alias("b"), F.get(words, p + 2).alias("c"), p.alias("p"))))
-    near = lambda k: F.get(F.col("_near"), k)
+    near = lambda k: F.get(F.col(near_), k)
     same = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
-    repeated = F.sort_array(F.transform(F.filter(F.col("_near"), lambda x, k: same(x, near(k + 1)) | same(x, near(k - 1))), lambda x: x["p"]))
-    step = lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col("_places"), k + 1) - p, F.lit(3))).cast("long")
-    covered = F.aggregate(F.transform(F.col("_places"), step), F.lit(0).cast("long"), lambda a, x: a + x)
+    repeated = F.sort_array(F.transform(F.filter(F.col(near_), lambda x, k: same(x, near(k + 1)) | same(x, near(k - 1))), lambda x: x["p"]))
+    step = lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col(places_), k + 1) - p, F.lit(3))).cast("long")
+    covered = F.aggregate(F.transform(F.col(places_), step), F.lit(0).cast("long"), lambda a, x: a + x)
     symbols = F.when(text.rlike("[#*$%&|<>]"), F.char_length(F.regexp_replace(text, "[^#*$%&|<>]+", ""))).otherwise(0)
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_chars", "symbol_ratio", "stop_ratio", "dup_line_ratio")
-    kept = [c for c in docs.columns if c not in made]
+    kept = [c for c in docs.columns if c.lower() not in made]
     ratio = lambda a, b: F.col(a) / F.when(F.col(b) > 0, F.col(b))
     return (
         docs.select(
             *kept,
-            F.array_remove(F.split(text, BLANK), "").alias("_words"),
-            F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_BLANK)).alias("_lines"),
+            F.array_remove(F.split(text, BLANK), "").alias(words_),
+            F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_BLANK)).alias(lines_),
             symbols.cast("long").alias("n_symbols"),
         )
-        .withColumn("_coded", F.when(n >= 4, coded).otherwise(F.array().cast("array<bigint>")))
-        .withColumn("_near", F.when(F.size("_coded") >= 2, compared))
-        .withColumn("_places", repeated)
+        .withColumn(coded_, F.when(n >= 4, coded))
+        .withColumn(near_, F.when(F.size(coded_) >= 2, compared))
+        .withColumn(places_, repeated)
         .select(
             *kept,
             n.cast("long").alias("n_words"),
-            F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+            F.char_length(F.array_join(words_, "")).cast("long").alias("word_chars"),
             "n_symbols",
-            F.size("_lines").cast("long").alias("_n_lines"),
-            (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+            F.size(lines_).cast("long").alias(n_lines_),
+            (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long").alias("n_dup_lines"),
             F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-            F.size(F.filter("_words", lambda w: w.isin(*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)))).cast("long").alias("_n_stop"),
+            F.size(F.filter(words_, lambda w: w.isin(*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)))).cast("long").alias(n_stop_),
         )
         .select(
             *kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             ratio("word_chars", "n_words").alias("mean_word_chars"), ratio("n_symbols", "n_words").alias("symbol_ratio"),
-            ratio("_n_stop", "n_words").alias("stop_ratio"), ratio("n_dup_lines", "_n_lines").alias("dup_line_ratio"),
+            ratio(n_stop_, "n_words").alias("stop_ratio"), ratio("n_dup_lines", n_lines_).alias("dup_line_ratio"),
         )
     )
 
@@ -95,7 +101,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     Repeated rows and ids are judged each alone; an empty table gives an empty one.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    drop = [c for c in ("base_failed", "kept") if c in docs.columns]
+    drop = [c for c in docs.columns if c.lower() in ("base_failed", "kept")]
     return measured(docs.drop(*drop), id_col, text_col).withColumn("base_failed", failed).withColumn("kept", ~failed & compile_rules(rules))
 
 
@@ -105,5 +111,6 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     The row number holds the filter above the projection: pushed into it, the verdict
     would be worked out again for every use of a metric.
     """
-    own = judged(docs.withColumn("_own", F.struct(*docs.columns)), id_col, text_col, rules).select("_own", "kept", F.monotonically_increasing_id().alias("_row"))
-    return own.where(F.col("kept") & (F.col("_row") >= 0)).select("_own.*")
+    own, row = fresh(docs, "own", "row")
+    found = judged(docs.select(F.struct(*docs.columns).alias(own), F.col(text_col)), id_col, text_col, rules)
+    return found.select(own, "kept", F.monotonically_increasing_id().alias(row)).where(F.col("kept") & (F.col(row) >= 0)).select(f"{own}.*")
