@@ -26,9 +26,9 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged records of a replica of all pages' WARC archives, found from the trees of both."""
-    from skarn.llm.warc import audit, damaged_copy, records
+    from skarn.llm.warc import audit, damaged_copy, records, write_archives
 
-    original = records(table(spark, sf_dir, "pages"))
+    original = write_archives(records(table(spark, sf_dir, "pages")))
     return audit(original, damaged_copy(original))
 
 
@@ -115,7 +115,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_merkle_audit": f"""
 WITH p AS (SELECT page_id, page_id // 4096 AS archive, coalesce(url, '') AS u, coalesce(html, '') AS h FROM pages),
-d AS (SELECT archive, page_id, u, 'WARC/1.1' || {nl} || 'WARC-Type: resource' || {nl} || 'WARC-Target-URI: ' || u || {nl}
+d AS (SELECT archive, page_id, u, 'WARC/1.1' || {nl} || 'WARC-Type: resource' || {nl} || 'WARC-Date: 1970-01-01T00:00:00Z' || {nl} || 'WARC-Target-URI: ' || u || {nl}
              || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {nl} || 'Content-Type: text/html' || {nl}
              || 'Content-Length: ' || strlen(h) || {nl} || {nl} || h || {nl} || {nl} AS data FROM p),
 o AS (SELECT archive, page_id, data, row_number() OVER w - 1 AS record_no,
