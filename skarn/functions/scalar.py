@@ -37,6 +37,36 @@ def c_escape(text: Column) -> Column:
     return text
 
 
+def c_unescape(text: Column) -> Column:
+    """The text that :func:`c_escape` made: parts between double backslashes are read on their own."""
+
+    def read(part: Column) -> Column:
+        for plain, escaped in (('"', '\\"'), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+            part = F.replace(part, F.lit(escaped), F.lit(plain))
+        return part
+
+    return F.array_join(F.transform(F.split(text, r"\\\\"), read), "\\")
+
+
+#: What a word consists of beside ASCII letters and digits: the underscore and everything beyond ASCII.
+WORD_CHARS = r"A-Za-z0-9_\x{80}-\x{10FFFF}"
+
+
+def whole_word_count(text: Column, word: str) -> Column:
+    """How often a word stands in a text with no word character beside it."""
+    return F.regexp_count(text, F.lit(f"(?<![{WORD_CHARS}]){re.escape(word)}(?![{WORD_CHARS}])")).cast("long")
+
+
+def hex_decode(text: Column) -> Column:
+    """The text whose UTF-8 bytes are given in hexadecimal; null where they are none."""
+    return F.decode(F.unhex(text), "UTF-8")
+
+
+def utf16_hex(text: Column) -> Column:
+    """The text's UTF-16 code units, high byte first, in hexadecimal."""
+    return F.hex(F.encode(text, "UTF-16BE"))
+
+
 def url_encode(text: Column) -> Column:
     """Percent encoding that keeps ``-_./`` and letters and digits, and writes a blank as %20."""
     out = F.url_encode(text)
@@ -62,14 +92,17 @@ def hanzi_count(text: Column) -> Column:
 
 
 def byte_ordered(number: Column) -> Column:
-    """16 hexadecimal digits in whose text order doubles are ordered as numbers, -0.0 as 0.0."""
-    # A double's bits as text: from its order among all doubles, sign first.
-    size = F.abs(number)
-    power = F.when(size > 0, F.floor(F.log2(size))).otherwise(F.lit(-1023))
-    power = F.when(size == 0, power).when(F.pow(F.lit(2.0), power) > size, power - 1).when(F.pow(F.lit(2.0), power + 1) <= size, power + 1).otherwise(power)
-    part = F.when(size > 0, ((size / F.pow(F.lit(2.0), power) - 1) * F.lit(float(1 << 52))).cast("long")).otherwise(F.lit(0))
-    bits = F.shiftleft((power + 1023).cast("long"), 52).bitwiseOR(part)
-    return F.when(number < 0, F.lpad(F.hex(F.bitwise_not(bits.bitwiseOR(F.lit(-(2**63))))), 16, "0")).otherwise(F.lpad(F.hex(bits.bitwiseOR(F.lit(-(2**63)))), 16, "0"))
+    """16 hexadecimal digits in whose text order doubles are ordered as numbers, -0.0 as 0.0, NaN last, infinities at the ends."""
+    # A double's bits from its power of two and its part above it; numbers below the least normal one have power 0.
+    size, least = F.abs(number), -1022
+    power = F.greatest(F.floor(F.log2(F.greatest(size, F.lit(2.0**least)))), F.lit(least))
+    power = F.when(F.pow(F.lit(2.0), power) > size, power - 1).when(F.pow(F.lit(2.0), F.least(power + 1, F.lit(1023))) <= size, F.least(power + 1, F.lit(1023))).otherwise(power)
+    part = ((size / F.pow(F.lit(2.0), power) - 1) * F.lit(float(1 << 52))).cast("long")
+    normal = F.shiftleft((power + 1023).cast("long"), 52).bitwiseOR(part)
+    tiny = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
+    bits = F.when(F.isnan(size), F.lit(0x7FF8 << 48)).when(size == F.lit(float("inf")), F.lit(0x7FF0 << 48)).when(size < F.lit(2.0**least), tiny).otherwise(normal)
+    negative = F.hex(F.bitwise_not(bits.bitwiseOR(F.lit(-(2**63)))))
+    return F.lpad(F.when((number < 0) & ~F.isnan(number), negative).otherwise(F.hex(bits.bitwiseOR(F.lit(-(2**63))))), 16, "0")
 
 
 def zero_free(data: Column) -> Column:

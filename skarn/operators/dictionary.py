@@ -5,10 +5,13 @@ Order is byte order (Spark's binary collation). A dictionary is a table ``word``
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skarn.operators.ordered import lower_bounds, with_ordinal
+from skarn.functions.scalar import common_prefix_length
+from skarn.operators.ordered import lower_bounds, with_ordinal, with_previous
 
 
 def word_set(df: DataFrame, column: str) -> DataFrame:
@@ -83,3 +86,70 @@ def child_stats(words: DataFrame, depth: int) -> DataFrame:
 def insert_if_absent(words: DataFrame, new: DataFrame) -> DataFrame:
     """``words`` with those of ``new`` whose word it lacks; of repeated new rows one goes in."""
     return words.unionByName(new.dropDuplicates(["word"]).join(words, "word", "left_anti"))
+
+
+def seek(d: DataFrame, probes: DataFrame) -> DataFrame:
+    """``probe``, ``idx``, ``word``, ``matched``, ``found``: the first word not smaller than each probe, the characters they share at their start, and whether they are equal; past the end no word."""
+    at = lower_bounds(d, probes).join(d.withColumnRenamed("id", "idx"), "idx", "left")
+    shared = F.coalesce(common_prefix_length(F.col("probe"), F.col("word")), F.lit(0))
+    return at.select("probe", "idx", "word", shared.cast("long").alias("matched"), F.coalesce(F.col("word") == F.col("probe"), F.lit(False)).alias("found"))
+
+
+def longest_shared_prefix(words: DataFrame, probes: DataFrame) -> DataFrame:
+    """``probe``, ``matched``: the longest start of each probe that some word starts with."""
+    return path_suffix_counts(words, probes).where("cnt > 0").groupBy("probe").agg(F.max("len").alias("matched"))
+
+
+def neighbours(d: DataFrame) -> DataFrame:
+    """``word``, ``before``, ``after``: the words next to each in order; null at the ends."""
+    near = d.select("word", F.explode(F.array(F.struct((F.col("id") + 1).alias("id"), F.lit("before").alias("side")), F.struct((F.col("id") - 1).alias("id"), F.lit("after").alias("side")))).alias("e"))
+    side = lambda x: near.where(F.col("e.side") == x).select(F.col("e.id").alias("id"), F.col("word").alias(x))
+    return d.join(side("before"), "id", "left").join(side("after"), "id", "left").select("word", "before", "after")
+
+
+def longest_word_prefix(d: DataFrame, texts: DataFrame, column: str) -> DataFrame:
+    """``column``, ``matched``, ``word``, ``id``: the longest word that starts the text."""
+    best = F.max(F.struct("matched", "word", "id")).alias("best")
+    return match_prefixes(d, texts, column).groupBy(column).agg(best).select(column, "best.*")
+
+
+def step_counts(words: DataFrame, probes: DataFrame, delimiter: str) -> DataFrame:
+    """``probe``, ``step``, ``cnt``: after each part of a delimited probe, the words that start with the parts so far."""
+
+    def steps(df: DataFrame, column: str) -> DataFrame:
+        parts = F.split(F.col(column), re.escape(delimiter))
+        each = df.select(column, F.posexplode(parts).alias("at", "part"), parts.alias("parts"))
+        return each.select(column, (F.col("at") + 1).cast("long").alias("step"), F.slice("parts", F.lit(1), F.col("at") + 1).alias("path"))
+
+    wanted = steps(probes.select("probe").distinct(), "probe")
+    counts = steps(words, "word").join(wanted.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.count("*").alias("cnt"))
+    return wanted.join(counts, "path", "left").select("probe", "step", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
+
+
+def approximate_ranks(d: DataFrame) -> DataFrame:
+    """``word``, ``rank``: the place of each word among all, from 0 up to 1."""
+    total = d.agg(F.greatest(F.max("id"), F.lit(1)).alias("_last"))
+    return d.join(F.broadcast(total)).select("word", (F.col("id") / F.col("_last")).alias("rank"))  # a single row
+
+
+def sampled(words: DataFrame, share: float) -> DataFrame:
+    """The words whose digest lies in the lowest ``share`` of all: the same ones at every run and in every part."""
+    return words.where(F.md5(F.col("word").cast("binary")) < f"{int(share * 2**32):08x}")
+
+
+def random_words(words: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` words in the order of a digest of seed and word."""
+    return words.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "word").cast("binary")), "word").limit(n)
+
+
+def first_difference_counts(words: DataFrame) -> DataFrame:
+    """``shared``, ``cnt``: how often neighbours in order share so many characters at their start."""
+    near = with_previous(words.select("word"), ["word"], "word", "before").where("before is not null")
+    return near.select(common_prefix_length(F.col("before"), F.col("word")).alias("shared")).groupBy("shared").agg(F.count("*").alias("cnt"))
+
+
+def word_stats(words: DataFrame) -> DataFrame:
+    """One row: ``words``, ``total_len``, ``max_len``, ``prefixes`` (different starts, the empty one among them: nodes of a trie)."""
+    n = F.char_length("word").cast("long")
+    starts = prefixes_of(words, "word").select("prefix").distinct().agg(F.count("*").alias("prefixes"))
+    return words.agg(F.count("*").alias("words"), F.sum(n).alias("total_len"), F.max(n).alias("max_len")).join(F.broadcast(starts))  # single rows

@@ -12,11 +12,12 @@ from skarn.functions.scalar import field
 from skarn.operators.ordered import running_sums, with_previous
 
 
-def lookup_join(rows: DataFrame, dimension: DataFrame, on: dict[str, str], take: dict[str, str], check: bool = False) -> DataFrame:
+def lookup_join(rows: DataFrame, dimension: DataFrame, on: dict[str, str], take: dict[str, str], check: bool = True) -> DataFrame:
     """``rows`` with columns of ``dimension`` (``take``: new name to column), empty where nothing is found.
 
     ``on``: column of ``rows`` to key column; several form one key. Each row gets one
-    answer, so keys must be unique; ``check`` makes repeated keys an error.
+    answer: a key that ``dimension`` repeats is an error, unless ``check`` is off, where
+    the caller vouches for it.
     """
     keys = [*on.values()]
     side = dimension.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(F.col(c).alias(f"_v_{n}") for n, c in take.items()))
@@ -52,9 +53,9 @@ def sorted_runs(df: DataFrame, order: list[str], value: str) -> DataFrame:
 
 
 def document_terms(df: DataFrame, doc: str, fields: list[str]) -> DataFrame:
-    """``doc``, ``field``, ``term``, ``freq`` of the fields' lower-case words."""
+    """``doc``, ``field``, ``term``, ``freq`` of the fields' lower-case words, which are runs of letters and digits of any script."""
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields)))
-    words = df.select(doc, each.alias("e")).select(doc, "e.field", F.explode(F.split(F.lower("e.text"), "[^a-z0-9]+")).alias("term"))
+    words = df.select(doc, each.alias("e")).select(doc, "e.field", F.explode(F.split(F.lower("e.text"), r"[^\p{L}\p{N}]+")).alias("term"))
     return words.where("term <> ''").groupBy(doc, "field", "term").agg(F.count("*").alias("freq"))
 
 
@@ -73,6 +74,14 @@ def posting_lists(terms: DataFrame, doc: str, most: int = 100_000) -> DataFrame:
     return lists.select("term", "part", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("docs"), F.size("ids").cast("long").alias("df"))
 
 
+def posting_ranges(terms: DataFrame, doc: str, most: int = 100_000) -> DataFrame:
+    """``term``, ``part``, ``df``, ``first_doc``, ``last_doc``, ``hits`` of ``doc``, ``term``, ``freq`` rows: what an index knows of each range of ``most`` ids of a term."""
+    part = F.floor(F.col(doc) / most).cast("long")
+    return terms.groupBy("term", part.alias("part")).agg(
+        F.count_distinct(doc).alias("df"), F.min(doc).alias("first_doc"), F.max(doc).alias("last_doc"), F.sum("freq").alias("hits")
+    )
+
+
 def range_lookup(points: DataFrame, at: str, ranges: DataFrame, start: str, end: str, width: int, take: list[str]) -> DataFrame:
     """Columns ``take`` of the range [start, end) that each point lies in: an equi-join on cells of ``width``, then the test."""
     cells = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))

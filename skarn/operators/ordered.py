@@ -52,3 +52,29 @@ def lower_bounds(words: DataFrame, probes: DataFrame, name: str = "idx") -> Data
     both = words.select(F.col("word").alias("text"), F.lit(1).alias("is_word")).distinct().unionByName(probes.select(F.col("probe").alias("text"), F.lit(0).alias("is_word")).distinct())
     counted = running_sums(both, ["text", "is_word"], {name: F.col("is_word").cast("long")})
     return counted.where("is_word = 0").select(F.col("text").alias("probe"), F.col(name).cast("long"))
+
+
+def bit_ranks(df: DataFrame, order: list[str], bit: Column) -> DataFrame:
+    """``df`` with ``rank1`` and ``rank0``: set and unset bits up to and with each row."""
+    one = F.when(bit, 1).otherwise(0).cast("long")
+    return running_sums(df, order, {"rank1": one, "rank0": 1 - one})
+
+
+def select_bits(df: DataFrame, order: list[str], bit: Column) -> DataFrame:
+    """``df``'s rows with a set bit and ``k``, their number from 0: where the k-th set bit stands."""
+    return with_ordinal(df.where(bit), *order, name="k")
+
+
+def runs_of_ones(df: DataFrame, order: str, bit: Column) -> DataFrame:
+    """``start``, ``len``: each longest run of set bits. The unset bits before a bit tell its run."""
+    ranked = bit_ranks(df, [order], bit).where(bit)
+    return ranked.groupBy("rank0").agg(F.min(order).alias("start"), F.count("*").alias("len")).drop("rank0")
+
+
+def split_ranges(rows: DataFrame, order: list[str], size: Column, parts: int) -> DataFrame:
+    """``part``, ``offset``, ``length``: rows in order, cut into ``parts`` ranges of about equal size at their borders."""
+    placed = running_sums(rows.withColumn("_size", size), order, {"_end": F.col("_size")})
+    total = rows.agg(F.greatest(F.sum(size), F.lit(1)).alias("_total"))
+    begin = F.col("_end") - F.col("_size")
+    part = F.floor(begin * parts / F.col("_total")).cast("long")
+    return placed.join(F.broadcast(total)).groupBy(part.alias("part")).agg(F.min(begin).alias("offset"), F.sum("_size").alias("length"))  # total: a single row

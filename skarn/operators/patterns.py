@@ -5,28 +5,87 @@ Positions are characters from 1 where results say ``pos``; use :func:`byte_offse
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def word_hits(texts: DataFrame, key: str, column: str, patterns: dict[int, str]) -> DataFrame:
-    """``key``, ``pid``, ``pos``: every place of every pattern, overlapping ones included.
+    """``key``, ``pid``, ``pos``, ``byte_pos``: every place of every pattern, overlapping ones included.
 
-    For each pattern length, the positions of a text are exploded once and looked up in
-    the patterns of that length; texts without any pattern of that length never explode.
+    Texts without any pattern are told by one scan; the others are searched for each of
+    their patterns, behind one hit after the other. Patterns may repeat under several ids;
+    empty ones and null texts have no hits.
     """
-    spark = texts.sparkSession
-    parts = []
-    for n in sorted({len(p) for p in patterns.values()}):
-        own = {p: i for i, p in patterns.items() if len(p) == n}
-        table = spark.createDataFrame([(i, p) for p, i in own.items()], "pid int, pat string")
-        some = texts.where(reduce(Column.__or__, [F.col(column).contains(p) for p in own]))
-        places = some.select(key, column, F.explode(F.sequence(F.lit(1), F.char_length(column) - (n - 1))).alias("pos"))
-        cut = places.select(key, "pos", F.expr(f"substring({column}, pos, {n})").alias("pat"))
-        parts.append(cut.join(F.broadcast(table), "pat").select(key, "pid", F.col("pos").cast("long")))  # as many rows as the caller's patterns
-    return reduce(DataFrame.unionByName, parts)
+    words = {i: p for i, p in patterns.items() if p}
+    kind = texts.schema[key].dataType.simpleString()
+    anywhere = re.compile("|".join(re.escape(p) for p in sorted(set(words.values()), key=len)) or "(?!)")
+
+    def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            row, pid, pos, byte = [], [], [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                if not text or not anywhere.search(text):
+                    continue
+                plain = text.isascii()
+                for i, p in words.items():
+                    at, last, size = text.find(p), 0, 0
+                    while at >= 0:
+                        if not plain:
+                            size += len(text[last:at].encode())
+                            last = at
+                        row.append(k)
+                        pid.append(i)
+                        pos.append(at + 1)
+                        byte.append(at if plain else size)
+                        at = text.find(p, at + 1)
+            columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(pid, pa.int32()), pa.array(pos, pa.int64()), pa.array(byte, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "pid", "pos", "byte_pos"])
+
+    return texts.select(key, column).mapInArrow(found, f"`{key}` {kind}, pid int, pos long, byte_pos long")
+
+
+def reverse_hits(hits: DataFrame, key: str, patterns: dict[int, str]) -> DataFrame:
+    """:func:`word_hits` as a scan from the end gives them: ``nth`` numbers the patterns that begin at one place, longest first."""
+    size = F.create_map(*(F.lit(x) for i, p in patterns.items() for x in (i, len(p)))) if patterns else F.lit(None)
+    within = Window.partitionBy(key, "pos").orderBy(F.desc("_size"), "pid")  # at most as many as there are patterns
+    return hits.withColumn("_size", size[F.col("pid")]).withColumn("nth", F.row_number().over(within)).drop("_size")
+
+
+def matching_words(words: DataFrame, column: str, patterns: dict[int, str]) -> DataFrame:
+    """``qid``, ``column``: patterns that match a prefix of each word; all patterns in one scan."""
+    tests = [F.when(anchored(column, p), F.lit(i)) for i, p in patterns.items()]
+    return words.select(F.explode(F.array_compact(F.array(*tests))).alias("qid"), column)
+
+
+def has_hit(text: Column, patterns: dict[str, str]) -> Column:
+    """Names of the patterns that match anywhere in a text, in the order given."""
+    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(name)) for name, p in patterns.items())))
+
+
+def read_patterns(spark: SparkSession, path: str, ignore_case: bool = False, literal: bool = False) -> DataFrame:
+    """``name``, ``pattern`` of a file of lines ``pattern <tab> name``; a line without a name has its number as name.
+
+    ``ignore_case``: for all patterns. ``literal``: lines are words, not expressions. Empty
+    lines are left out but counted.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where("line <> ''")
+    pattern = F.substring_index("line", "\t", 1)
+    if literal:
+        pattern = F.concat(F.lit("\\Q"), F.replace(pattern, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    if ignore_case:
+        pattern = F.concat(F.lit("(?iu)"), pattern)
+    name = F.when(F.instr("line", "\t") > 0, F.regexp_extract("line", "\t(.*)$", 1)).otherwise((F.col("at") + 1).cast("string"))
+    return lines.select(name.alias("name"), pattern.alias("pattern"))
+
+
+def longest_ids(matches: DataFrame, column: str) -> DataFrame:
+    """``column``, ``len``, ``pids``: of :func:`match_set`, the ids that reach the longest match of each text."""
+    by_length = matches.groupBy(column, "len").agg(F.sort_array(F.collect_set("pid")).alias("pids"))
+    return by_length.groupBy(column).agg(F.max("len").alias("len"), F.max_by("pids", "len").alias("pids"))
 
 
 def byte_offset(column: str, pos: str) -> Column:
@@ -93,7 +152,9 @@ def without(a, b):
 
 
 def literal_prefix(pattern: str) -> str:
-    """The characters that every match of an anchored pattern starts with."""
+    """The characters that every match of an anchored pattern starts with; none where the pattern has an alternative."""
+    if "|" in pattern:
+        return ""
     out = []
     for i, c in enumerate(pattern):
         if c in r"\.[](){}*+?|^$":
@@ -101,7 +162,7 @@ def literal_prefix(pattern: str) -> str:
                 out.pop()
             break
         out.append(c)
-    return "" if "|" in pattern and "(" not in pattern else "".join(out)
+    return "".join(out)
 
 
 def anchored(column: str, pattern: str) -> Column:
@@ -132,6 +193,43 @@ def fuzzy_join(words: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("d", F.levenshtein("a", "b", k)).where("d >= 0")
 
 
+def swapped(a: Column, b: Column) -> Column:
+    """Whether two texts of one length differ by one swap of neighbouring characters."""
+    n = F.char_length(a)
+    swap = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, n))
+    return (n == F.char_length(b)) & (n > 1) & (a != b) & F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: swap(i) == b)
+
+
+def fuzzy_join_swaps(words: DataFrame) -> DataFrame:
+    """``a``, ``b``: pairs of distinct words one edit apart, a swap of neighbours counting as one.
+
+    Words that differ by a swap share what either becomes without one character.
+    """
+    cut = words.select("word", F.explode(deletions(F.col("word"), 1)).alias("cut"))
+    left, right = cut.withColumnRenamed("word", "a"), cut.withColumnRenamed("word", "b")
+    pairs = left.join(right, "cut").where("a < b").select("a", "b").distinct()
+    return pairs.where((F.levenshtein("a", "b", 1) >= 0) | swapped(F.col("a"), F.col("b")))
+
+
+def longest_frequent(texts: DataFrame, column: str, words: DataFrame, least_length: int, least_count: int) -> DataFrame:
+    """``column``, ``pos``, ``len``, ``freq``: at each place of a text, the longest string of ``least_length`` characters or more that stands ``least_count`` times or more in ``words``.
+
+    Strings of both sides meet by an equi-join; those of ``words`` are counted before it.
+    For texts and words of bounded length.
+    """
+
+    def strings(df: DataFrame, c: str) -> DataFrame:
+        n = F.char_length(c)
+        rows = df.where(n >= least_length).select(c, F.explode(F.sequence(F.lit(1), n - least_length + 1)).alias("pos"))
+        long = rows.select(c, "pos", F.explode(F.sequence(F.lit(least_length), F.char_length(c) - F.col("pos") + 1)).alias("len"))
+        return long.withColumn("cut", F.substring(F.col(c), F.col("pos"), F.col("len")))
+
+    often = strings(words, "word").groupBy("cut").agg(F.count("*").alias("freq")).where(F.col("freq") >= least_count)
+    met = strings(texts.select(column).distinct(), column).join(often, "cut")
+    best = met.groupBy(column, "pos").agg(F.max(F.struct("len", "freq")).alias("best"))
+    return best.select(column, F.col("pos").cast("long").alias("pos"), F.col("best.len").cast("long").alias("len"), "best.freq")
+
+
 def spellings(words: DataFrame, readings: DataFrame) -> DataFrame:
     """``word``, ``spelling``: every way to read a word whose characters have several readings (``ch``, ``reading``)."""
     table = readings.groupBy("ch").agg(F.sort_array(F.collect_set("reading")).alias("own"))

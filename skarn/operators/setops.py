@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,6 +39,11 @@ def in_at_least(ways: list[DataFrame], k: int) -> DataFrame:
     return tagged(ways).groupBy("key").agg(F.count_distinct("way").alias("n")).where(F.col("n") >= k).select("key")
 
 
+def group_sizes(ways: list[DataFrame]) -> DataFrame:
+    """``key``, ``first``, ``rest``: of each group of equal keys in the merge of all inputs, its rows in the first input and in the others."""
+    return tagged(ways).groupBy("key").agg(F.count_if(F.col("way") == 0).alias("first"), F.count_if(F.col("way") > 0).alias("rest"))
+
+
 def sizes(ways: list[DataFrame]) -> DataFrame:
     """``union_size``, ``intersection_size`` in one pass."""
     by_key = tagged(ways).groupBy("key").agg(F.count_distinct("way").alias("n"))
@@ -49,50 +55,46 @@ def multiset_intersection(a: DataFrame, b: DataFrame, on: list[str] | str) -> Da
     return a.join(b, on, "left_semi")
 
 
-def evaluate(postings: DataFrame, query: str, doc: str = "doc_id", term: str = "term") -> DataFrame:
-    """Documents that a boolean query finds in ``term``/``doc`` rows.
+@dataclass(frozen=True)
+class Query:
+    """A boolean search over postings: its words, and whether a document has it, given the term column.
 
-    ``|`` or, ``+`` and, ``-`` without, ``^`` either but not both, parentheses, and
-    ``mm(k, t1, t2, ...)`` for at least k of some terms; a term may be quoted. All
-    operators bind alike, from the left. The query becomes one aggregate by document
-    over the rows of its terms, so it costs one shuffle however many terms it has.
+    Made by :func:`has` and :func:`at_least` and put together by ``&`` (and), ``|`` (or),
+    ``-`` (without) and ``^`` (either but not both), which bind as Python has it: ``-``
+    before ``&`` before ``^`` before ``|``.
     """
-    tokens = re.findall(r'"[^"]*"|[()|+^,-]|[^\s()|+^,"-]+', query)
-    at = 0
-
-    def has(word: str):
-        words.append(word)
-        return F.coalesce(F.bool_or(F.col(term) == word), F.lit(False))
-
-    def primary():
-        nonlocal at
-        token = tokens[at]
-        at += 1
-        if token == "(":
-            inner = expression()
-            at += 1
-            return inner
-        if token.lower() == "mm" and at < len(tokens) and tokens[at] == "(":
-            at += 1
-            parts = []
-            while tokens[at] != ")":
-                if tokens[at] != ",":
-                    parts.append(tokens[at].strip('"'))
-                at += 1
-            at += 1
-            return reduce(lambda x, y: x + y, [has(p).cast("int") for p in parts[1:]]) >= int(parts[0])
-        return has(token.strip('"'))
-
-    def expression():
-        nonlocal at
-        left = primary()
-        while at < len(tokens) and tokens[at] in "|+^-":
-            op = tokens[at]
-            at += 1
-            right = primary()
-            left = {"|": left | right, "+": left & right, "-": left & ~right, "^": left != right}[op]
-        return left
-
-    words: list[str] = []
-    wanted = expression()
-    return postings.where(F.col(term).isin(words)).groupBy(doc).agg(wanted.alias("_hit")).where("_hit").select(doc)
+
+    words: tuple[str, ...]
+    found: Callable[[Column], Column]
+
+    def _with(self, other: Query, put: Callable[[Column, Column], Column]) -> Query:
+        return Query(self.words + other.words, lambda term: put(self.found(term), other.found(term)))
+
+    def __and__(self, other: Query) -> Query:
+        return self._with(other, lambda a, b: a & b)
+
+    def __or__(self, other: Query) -> Query:
+        return self._with(other, lambda a, b: a | b)
+
+    def __sub__(self, other: Query) -> Query:
+        return self._with(other, lambda a, b: a & ~b)
+
+    def __xor__(self, other: Query) -> Query:
+        return self._with(other, lambda a, b: a != b)
+
+
+def has(word: str) -> Query:
+    """Documents with a term; a term of a field is ``field:value``."""
+    return Query((word,), lambda term: F.coalesce(F.bool_or(term == word), F.lit(False)))
+
+
+def at_least(k: int, *words: str) -> Query:
+    """Documents with at least ``k`` of some terms."""
+    parts = [has(w) for w in words]
+    return Query(words, lambda term: reduce(Column.__add__, [p.found(term).cast("int") for p in parts], F.lit(0)) >= k)
+
+
+def matching(postings: DataFrame, query: Query, doc: str = "doc_id", term: str = "term") -> DataFrame:
+    """Documents of ``term``/``doc`` rows that a query finds: one aggregate by document over the rows of its terms, so one shuffle however many there are."""
+    rows = postings.where(F.col(term).isin(*query.words))
+    return rows.groupBy(doc).agg(query.found(F.col(term)).alias("_hit")).where("_hit").select(doc)

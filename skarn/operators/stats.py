@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +55,31 @@ def entropy_bytes(counts: DataFrame, context: list[str] | None = None) -> DataFr
     total = counts.groupBy(*context).agg(F.sum("cnt").alias("total"))
     joined = counts.join(total, context) if context else counts.crossJoin(F.broadcast(total))  # a single row
     return joined.agg(F.round(-F.sum(F.col("cnt") * F.log2(F.col("cnt") / F.col("total"))) / 8, 4).alias("bytes"))
+
+
+def byte_counts(df: DataFrame, column: str, order: int = 0) -> DataFrame:
+    """``prev``, ``cur``, ``cnt``: counts of each UTF-8 byte after the ``order`` bytes before it, in hexadecimal; no ``prev`` for order 0.
+
+    Texts are counted by NumPy within Arrow batches; what is shuffled are a batch's counts.
+    """
+
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts = b.column(0).drop_null().cast(pa.large_binary())
+            if not len(texts):
+                continue
+            at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+            if len(data) <= order:
+                continue
+            text = np.repeat(np.arange(len(texts)), np.diff(at))
+            codes = np.zeros(len(data) - order, np.int64)
+            for k in range(order + 1):
+                codes = (codes << 8) | data[k : len(data) - order + k]
+            code, n = np.unique(codes[text[order:] == text[: len(text) - order]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+
+    counts = df.select(F.col(column)).mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("cnt"))
+    cur = F.lpad(F.hex(F.col("code").bitwiseAND(F.lit(255))), 2, "0").alias("cur")
+    prev = [F.lpad(F.hex(F.shiftright("code", 8)), 2 * order, "0").alias("prev")] if order else []
+    return counts.select(*prev, cur, "cnt")

@@ -1,11 +1,10 @@
-"""All queries of the core over the test tables, each with its SQL."""
+"""Queries of the core over the test tables, each with its SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions import scalar as S
@@ -16,31 +15,7 @@ from skarn.operators import ordered as O
 from skarn.operators import patterns as P
 from skarn.operators import setops as A
 from skarn.operators import stats as T
-from skarn.session import table
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query of a table getter under its name."""
-
-    def add(f):
-        _QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: table(spark, sf_dir, name))
-        if sql:
-            _SQL[f.__name__] = sql.strip()
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+from skarn.plans.registry import query
 
 def words(df: DataFrame, column: str) -> DataFrame:
     """``word``, repeats kept."""
@@ -166,9 +141,10 @@ def multiset_intersection2(t):
     return A.multiset_intersection(t("orders").select(F.col("o_orderkey").alias("key")), t("lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("key")), "key")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def subtract(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    dear = t("orders").where("o_totalprice > 200000")
+    return t("customer").join(dear, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("""
@@ -183,9 +159,8 @@ def doc_range_join(t):
 WITH q(qid, pattern) AS (VALUES (0, 'STANDARD|SMALL'), (1, 'ECON[A-Z]+'), (2, '[A-Z]+ B'))
 SELECT DISTINCT qid, p_type AS word FROM part, q WHERE regexp_matches(p_type, '^(?:' || pattern || ')')""")
 def regex_dictionary_join(t):
-    kinds = D.word_set(t("part"), "p_type")
-    patterns = ((0, "STANDARD|SMALL"), (1, "ECON[A-Z]+"), (2, "[A-Z]+ B"))
-    return reduce(DataFrame.unionByName, [kinds.where(P.anchored("word", p)).select(F.lit(i).alias("qid"), "word") for i, p in patterns])
+    patterns = {0: "STANDARD|SMALL", 1: "ECON[A-Z]+", 2: "[A-Z]+ B"}
+    return P.matching_words(D.word_set(t("part"), "p_type"), "word", patterns)
 
 
 @query("""
@@ -444,10 +419,10 @@ def unique_rows(t):
     return t("lineitem").select("l_returnflag", "l_linestatus").dropDuplicates()
 
 
-@query("SELECT DISTINCT p_brand AS word FROM part WHERE p_size < 20 EXCEPT SELECT p_brand FROM part WHERE p_size > 45")
+@query("SELECT DISTINCT p_name AS word FROM part WHERE p_size < 20 EXCEPT SELECT p_name FROM part WHERE p_size > 45")
 def word_difference(t):
     part = t("part")
-    return D.word_set(part.where("p_size < 20"), "p_brand").subtract(D.word_set(part.where("p_size > 45"), "p_brand"))
+    return D.word_set(part.where("p_size < 20"), "p_name").subtract(D.word_set(part.where("p_size > 45"), "p_name"))
 
 
 def _has(t, terms):
@@ -457,37 +432,37 @@ def _has(t, terms):
 
 @query("SELECT doc_id FROM documents WHERE contains(text, 'th') INTERSECT SELECT doc_id FROM documents WHERE contains(text, 'an')")
 def posting_and(t):
-    return A.evaluate(_has(t, ["th", "an"]), "th + an")
+    return A.matching(_has(t, ["th", "an"]), A.has("th") & A.has("an"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(text, 'the') UNION SELECT doc_id FROM documents WHERE contains(text, 'ein')")
 def posting_or(t):
-    return A.evaluate(_has(t, ["the", "ein"]), "the | ein")
+    return A.matching(_has(t, ["the", "ein"]), A.has("the") | A.has("ein"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(text, 'an') EXCEPT SELECT doc_id FROM documents WHERE contains(text, 'the')")
 def posting_sub(t):
-    return A.evaluate(_has(t, ["an", "the"]), "an - the")
+    return A.matching(_has(t, ["an", "the"]), A.has("an") - A.has("the"))
 
 
 @query("""
 (SELECT doc_id FROM documents WHERE contains(text, 'an') EXCEPT SELECT doc_id FROM documents WHERE contains(text, 'the'))
 UNION (SELECT doc_id FROM documents WHERE contains(text, 'the') EXCEPT SELECT doc_id FROM documents WHERE contains(text, 'an'))""")
 def posting_xor(t):
-    return A.evaluate(_has(t, ["an", "the"]), "an ^ the")
+    return A.matching(_has(t, ["an", "the"]), A.has("an") ^ A.has("the"))
 
 
 @query("""
 SELECT doc_id FROM documents, (VALUES ('th'), ('an'), ('sch')) v(t) WHERE contains(text, t) GROUP BY doc_id HAVING count(DISTINCT t) >= 2""")
 def posting_minmatch(t):
-    return A.evaluate(_has(t, ["th", "an", "sch"]), "mm(2, th, an, sch)")
+    return A.matching(_has(t, ["th", "an", "sch"]), A.at_least(2, "th", "an", "sch"))
 
 
 @query("""
 SELECT doc_id FROM documents WHERE (lang = 'en' OR lang = 'fr') AND source <> 'src1' AND (source = 'src2' OR source = 'src3')""")
 def boolean_query(t):
     terms = E.metadata_terms(t("documents"), "doc_id", ["lang", "source"])
-    return A.evaluate(terms, '("lang:en" | "lang:fr") + ("source:src2" | "source:src3") - "source:src1"')
+    return A.matching(terms, (A.has("lang:en") | A.has("lang:fr")) & (A.has("source:src2") | A.has("source:src3")) - A.has("source:src1"))
 
 
 # --- Keys and values
@@ -569,19 +544,20 @@ def oplog_compact(t):
 
 HITS = """
 WITH p(pid, pat) AS (VALUES (0, 'th'), (1, 'the'), (2, 'here'))
-SELECT item_id, pid, CAST(i AS BIGINT) AS pos{0} FROM benchmark, p, generate_series(1, length(text)) g(i) WHERE substr(text, CAST(i AS INT), length(pat)) = pat"""
+SELECT doc_id, pid, CAST(i AS BIGINT) AS pos{0} FROM documents, p, generate_series(1, length(text)) g(i) WHERE substr(text, CAST(i AS INT), length(pat)) = pat"""
+
+
+WORDS = {0: "th", 1: "the", 2: "here"}
 
 
 @query(HITS.format(""))
 def ac_hits(t):
-    return P.word_hits(t("benchmark"), "item_id", "text", {0: "th", 1: "the", 2: "here"})
+    return P.word_hits(t("documents"), "doc_id", "text", WORDS).select("doc_id", "pid", "pos")
 
 
 @query(HITS.format(", CAST(strlen(left(text, CAST(i AS INT) - 1)) AS BIGINT) AS byte_pos"))
 def ac_hits_bytes(t):
-    texts = t("benchmark")
-    hits = P.word_hits(texts, "item_id", "text", {0: "th", 1: "the", 2: "here"})
-    return hits.join(texts, "item_id").select("item_id", "pid", "pos", P.byte_offset("text", "cast(pos as int)").alias("byte_pos"))
+    return P.word_hits(t("documents"), "doc_id", "text", WORDS)
 
 
 LENGTHS = "list_filter(generate_series(1, length(p_type)), lambda k: regexp_full_match(substr(p_type, 1, CAST(k AS INT)), 'S|STANDARD|[A-Z]+ [A-Z]'))"
@@ -673,7 +649,7 @@ def term_documents(t):
 
 
 @query("""
-SELECT conv_id, term, CAST(count(*) AS BIGINT) AS freq FROM (SELECT conv_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM conversations) WHERE term <> '' GROUP BY 1, 2""")
+SELECT conv_id, term, CAST(count(*) AS BIGINT) AS freq FROM (SELECT conv_id, unnest(string_split_regex(lower(text), '[^\\pL\\pN]+')) AS term FROM conversations) WHERE term <> '' GROUP BY 1, 2""")
 def doc_term_freq(t):
     return E.document_terms(t("conversations"), "conv_id", ["text"]).select("conv_id", "term", "freq")
 

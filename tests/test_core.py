@@ -23,14 +23,14 @@ def words(spark, own):
     return spark.createDataFrame([(w,) for w in own], "word string")
 
 
-PATRICIA = ["aaaabbbbcccc", "aaaabbbb", "aaaabbbb", "aaaac", "aaaad", "aaaade", "aaaa", "", "aaaabb", "aaaab", "aaaabbbbccc", "bb"]
+OWN_WORDS = ["river", "riverbank", "rivers", "", "riv", "rowan", "river", "rowans", "zebra"]
 
 
 def test_dictionary_ordinals(spark):
-    d = D.dictionary(words(spark, PATRICIA), "word")
-    assert rows(d) == sorted((w, i) for i, w in enumerate(sorted(set(PATRICIA))))
+    d = D.dictionary(words(spark, OWN_WORDS), "word")
+    assert rows(d) == sorted((w, i) for i, w in enumerate(sorted(set(OWN_WORDS))))
     back = D.nth_words(d, F.col("id") == 3).collect()
-    assert back[0].word == sorted(set(PATRICIA))[3]
+    assert back[0].word == sorted(set(OWN_WORDS))[3]
 
 
 def test_empty_dictionary(spark):
@@ -108,8 +108,11 @@ def test_set_algebra(spark):
 
 def test_boolean_queries(spark):
     postings = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "b"), (3, "c"), (4, "f:x y")], "doc_id long, term string")
-    for q, want in {"a + b": {1}, "a | c": {1, 2, 3}, "a - b": {2}, "a ^ b": {2, 3}, "(a | b) - c": {1, 2}, "mm(2, a, b, c)": {1, 3}, '"f:x y"': {4}}.items():
-        assert {r.doc_id for r in A.evaluate(postings, q).collect()} == want, q
+    a, b, c = (A.has(x) for x in "abc")
+    cases = [(a & b, {1}), (a | c, {1, 2, 3}), (a - b, {2}), (a ^ b, {2, 3}), ((a | b) - c, {1, 2}), (A.at_least(2, "a", "b", "c"), {1, 3})]
+    cases += [(A.has("f:x y"), {4}), (a | b - c, {1, 2}), (a & b ^ c, {1, 3}), (A.at_least(0), set())]
+    for q, want in cases:
+        assert {r.doc_id for r in A.matching(postings, q).collect()} == want
 
 
 def test_regex_longest_is_not_first(spark):
@@ -120,7 +123,88 @@ def test_regex_longest_is_not_first(spark):
 
 def test_overlapping_hits(spark):
     texts = spark.createDataFrame([(1, "ababa"), (2, ""), (3, None)], "k long, t string")
-    assert rows(P.word_hits(texts, "k", "t", {0: "aba", 1: "b", 2: "zzzzzzzz"})) == [(1, 0, 1), (1, 0, 3), (1, 1, 2), (1, 1, 4)]
+    own = {0: "aba", 1: "b", 2: "zzzzzzzz", 3: "b", 4: ""}
+    hits = P.word_hits(texts, "k", "t", own)
+    assert rows(hits.select("k", "pid", "pos")) == [(1, 0, 1), (1, 0, 3), (1, 1, 2), (1, 1, 4), (1, 3, 2), (1, 3, 4)]
+    assert rows(P.reverse_hits(hits, "k", own).where("pos = 2").select("pid", "nth")) == [(1, 1), (3, 2)]
+    assert rows(P.word_hits(texts, "k", "t", {})) == []
+    odd = spark.createDataFrame([(1, "éaéa")], "k long, t string")
+    assert rows(P.word_hits(odd, "k", "t", {0: "a"}).select("pos", "byte_pos")) == [(2, 2), (4, 5)]
+
+
+def test_pattern_sets(spark, tmp_path):
+    (tmp_path / "set.txt").write_text("a.c\tfirst\n\nx+\n")
+    path = str(tmp_path / "set.txt")
+    assert rows(P.read_patterns(spark, path)) == [("3", "x+"), ("first", "a.c")]
+    word = P.read_patterns(spark, path, ignore_case=True, literal=True).where("name = 'first'")
+    test = spark.createDataFrame([("zA.Cz",), ("abc",)], "t string").join(F.broadcast(word), F.expr("t rlike pattern"))
+    assert [r.t for r in test.collect()] == ["zA.Cz"]
+    texts = spark.createDataFrame([("abc xx",), ("none",)], "t string")
+    assert [r[0] for r in texts.select(P.has_hit(F.col("t"), {"x": "x+", "a": "a.c", "q": "q"})).collect()] == [["x", "a"], []]
+
+
+def test_swaps(spark):
+    own = ["abcd", "abdc", "bacd", "abcde", "ab", "ba", "zz", "aabb", "abab"]
+    want = [("abcd", "abdc"), ("abcd", "bacd"), ("abcd", "abcde"), ("ab", "ba"), ("aabb", "abab")]
+    assert rows(P.fuzzy_join_swaps(words(spark, own))) == sorted(want)
+
+
+def test_dictionary_cursors(spark):
+    d = D.dictionary(words(spark, ["a/b", "a/c", "a/c/d", "b"]), "word")
+    probes = spark.createDataFrame([("a/c",), ("a/d",), ("z",)], "probe string")
+    assert rows(D.seek(d, probes)) == [("a/c", 1, "a/c", 3, True), ("a/d", 3, "b", 0, False), ("z", 4, None, 0, False)]
+    assert rows(D.longest_shared_prefix(d.select("word"), probes)) == [("a/c", 3), ("a/d", 2), ("z", 0)]
+    assert rows(D.step_counts(d.select("word"), probes, "/")) == [("a/c", 1, 3), ("a/c", 2, 2), ("a/d", 1, 3), ("a/d", 2, 0), ("z", 1, 0)]
+    assert rows(D.first_difference_counts(d.select("word"))) == [(0, 1), (2, 1), (3, 1)]
+    near = {("a/b", None, "a/c"), ("a/c", "a/b", "a/c/d"), ("a/c/d", "a/c", "b"), ("b", "a/c/d", None)}
+    assert {(r.word, r.before, r.after) for r in D.neighbours(d).collect()} == near
+    assert D.word_stats(d.select("word")).first().prefixes == 8
+
+
+def test_bits_and_ranges(spark):
+    bits = [1, 1, 0, 1, 0, 0, 1, 1, 1]
+    df = spark.createDataFrame(list(enumerate(bits)), "at long, b int")
+    one = F.col("b") == 1
+    assert rows(O.runs_of_ones(df, "at", one).select("start", "len")) == [(0, 2), (3, 1), (6, 3)]
+    assert [r.at for r in O.select_bits(df, ["at"], one).orderBy("k").collect()] == [i for i, b in enumerate(bits) if b]
+    assert [r.rank0 for r in O.bit_ranks(df, ["at"], one).orderBy("at").collect()] == [0, 0, 1, 1, 2, 3, 3, 3, 3]
+    assert rows(O.split_ranges(df, ["at"], F.lit(10), 3).select("part", "offset", "length")) == [(0, 0, 30), (1, 30, 30), (2, 60, 30)]
+
+
+def test_checksums_and_codes(spark):
+    from skarn.functions import checksums
+
+    df = spark.createDataFrame([("123456789",), ("",), (None,), ("a",)], "t string")
+    both = df.select("t", checksums.crc32c(F.col("t")).alias("c"), checksums.crc16(F.col("t")).alias("d"))
+    got = {r.t: (r.c, r.d) for r in both.collect()}
+    assert got["123456789"] == (0xE3069283, 0x906E) and got[""] == (0, 0) and got[None] == (None, None)
+    one = spark.range(1)
+    get = lambda c: one.select(c).first()[0]
+    for text in ('a\\n"b"\t\\\\r\n', "\\", ""):
+        assert get(S.c_unescape(S.c_escape(F.lit(text)))) == text
+    assert get(S.whole_word_count(F.lit("an an. ban an_ éan (an)"), "an")) == 3
+    assert get(S.utf16_hex(F.lit("aé😀"))) == "aé😀".encode("utf-16-be").hex().upper()
+    assert get(S.hex_decode(F.lit("C3A9"))) == "é"
+
+
+def test_byte_counts(spark):
+    texts = ["abab", "é", None, "", "b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    for order in (0, 1, 2):
+        want = {}
+        for t in texts:
+            b = (t or "").encode()
+            for i in range(len(b) - order):
+                k = (b[i : i + order].hex().upper(), b[i + order : i + order + 1].hex().upper())
+                want[k] = want.get(k, 0) + 1
+        assert {(r.prev if order else "", r.cur): r.cnt for r in T.byte_counts(df, "t", order).collect()} == want
+
+
+def test_lookup_of_repeated_keys_is_an_error(spark):
+    left, side = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string")
+    with pytest.raises(Exception, match="several answers"):
+        E.lookup_join(left, side, {"k": "k"}, {"v": "v"}).collect()
+    assert E.lookup_join(left, side, {"k": "k"}, {"v": "v"}, check=False).count() == 3
 
 
 def test_fuzzy_join_model(spark):
@@ -144,6 +228,7 @@ def test_literal_prefix():
     assert P.literal_prefix("ab*c") == "a"
     assert P.literal_prefix("ab|c") == ""
     assert P.literal_prefix("(a|b)") == ""
+    assert P.literal_prefix("ab|(cd)") == ""
 
 
 def test_log_scanner(spark):
@@ -153,10 +238,10 @@ def test_log_scanner(spark):
 
 
 def test_replacements(spark):
-    cases = [(".a.b.c..d++", ".", "-", "-a-b-c--d++"), (".a.b.c..d++", "..", "---", ".a.b.c---d++"), (".a.b.c...d++", "..", "---", ".a.b.c---.d++"), (".a.b.c...d..", "..", "---", ".a.b.c---.d---")]
+    cases = [("x--y---z", "--", "+", "x+y+-z"), ("oooo", "oo", "o", "oo"), ("tide", "q", "r", "tide"), ("", "a", "b", "")]
     df = spark.createDataFrame(cases, "t string, a string, b string, want string")
     assert all(r[0] == r[1] for r in df.select(F.replace("t", F.col("a"), F.col("b")), "want").collect())
-    assert spark.range(1).select(F.translate(F.lit(".,a.,b.,c.,.d.."), ".,", "-;")).first()[0] == "-;a-;b-;c-;-d--"
+    assert spark.range(1).select(F.translate(F.lit("k/l:m/"), "/:", "_=")).first()[0] == "k_l=m_"
 
 
 def test_scalars(spark):
@@ -171,7 +256,7 @@ def test_scalars(spark):
 
 
 def test_byte_order_of_doubles(spark):
-    own = [-1e300, -2.5, -0.11, -0.1, -1e-300, 0.0, 1e-300, 0.1, 0.11, 2.5, 1e300]
+    own = [-float("inf"), -1.7976931348623157e308, -1e300, -2.5, -0.11, -0.1, -1e-300, -1e-310, -5e-324, 0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 1e-300, 0.1, 0.11, 2.5, 1e300, 1.7976931348623157e308, float("inf"), float("nan")]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in own], "x double").select(S.byte_ordered(F.col("x"))).collect()]
     assert got == sorted(got) and len(set(got)) == len(got)
 
@@ -221,6 +306,6 @@ def test_range_lookup(spark):
 
 
 def test_queries_have_sql():
-    from skarn.plans import catalogue
+    from skarn.plans import registry
 
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"log_parse", "hashes"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"log_parse", "hashes", "crc_codes"}
