@@ -46,23 +46,33 @@ def qualified(spark: SparkSession, path: str) -> str:
     return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends there."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a :func:`written` table that nothing is going to read again."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if "/skarn/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a written ``right`` that is broadcast up to ``rows`` rows, shuffled beyond."""
     small = right.limit(rows + 1).count() <= rows
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], spread: str, size: str = "size") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], spread: str | Column, size: str = "size") -> DataFrame:
     """``rows`` with the columns of their group; ``groups`` has one row for each, which counts its rows in ``size``.
 
-    Rows of hot groups are dealt to :data:`SALTS` parts by a hash of ``spread``, and their
+    Rows of hot groups are dealt to :data:`SALTS` parts by a hash of ``spread`` (row numbers
+    only of a written table, whose rows keep their order when read again), and their
     group's row goes to each of these. Fewer than :data:`HOT_GROUPS` groups can hold over
     that share of all rows, so the broadcast list of hot ones is bounded at any size.
     """

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.jaccard import bounds_of, by_group, mix
-from skarn.llm.shared import join_groups, sized_join, slices, trim, written
+from skarn.llm.shared import discard, join_groups, sized_join, slices, trim, written
 
 #: Bytes of a string that counts, and of a seed within it.
 LENGTH, SEED = 50, 24
@@ -253,6 +253,7 @@ def shared_filter(docs: DataFrame) -> np.ndarray:
     out = np.zeros(total // 32, "<u4").reshape(-1, PAGE_BITS // 32)
     for page, raw in zip(pages.column("page").to_pylist(), pages.column("bits"), strict=True):
         out[page] = np.frombuffer(raw.as_py(), "<u4")
+    discard(found)
     return out.ravel()
 
 
@@ -293,17 +294,18 @@ def led(seed: np.ndarray, pre: np.ndarray, doc: np.ndarray, rows: np.ndarray, si
 
     Runs of a size, seed and place are sorted like suffixes; equal ones share a leaf.
     """
-    n = len(seed)
-    order = np.lexsort((size, pre, seed))
-    new = np.zeros(n, np.int64)
-    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in (seed, pre, size)])
-    segment = np.empty(n, np.int64)
-    segment[order] = np.cumsum(new)
-    order, leaf = sorted_suffixes(rows, segment)
-    order = order[np.lexsort((doc[order], leaf))]  # leaves are numbered in their order
-    heads = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]])) if n else order
-    leader = np.empty(n, np.int64)
-    leader[order] = np.repeat(order[heads], np.diff(np.append(heads, n)))
+    place = pre * (MOST + 1) + size
+    order = np.lexsort((place, seed))
+    new = np.ones(len(seed), bool)
+    new[1:] = (seed[order][1:] != seed[order][:-1]) | (place[order][1:] != place[order][:-1])
+    several = ~(new & np.append(new[1:], True))  # runs that aren't alone
+    some, segment = order[several], np.cumsum(new[several])
+    moved, leaf = sorted_suffixes(rows[some], segment)
+    some = some[moved]
+    some = some[np.lexsort((doc[some], leaf))]  # leaves are numbered in their order
+    heads = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]])) if len(some) else some
+    leader = np.arange(len(seed))
+    leader[some] = np.repeat(some[heads], np.diff(np.append(heads, len(some))))
     return leader
 
 
@@ -539,7 +541,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table gives none.
     """
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = written(candidate_rows(own, shared_filter(own)), "suffix-rows")
+    rows = written(candidate_rows(own, shared_filter(own)), "suffix-rows", "zstd")
     live = rows.where("text is not null")
     hot = written(live.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > most_rows).select("seed"), "suffix-hot-seeds")
     calm = sized_join(live, hot, ["seed"], "left_anti")
@@ -547,6 +549,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = [rows.where("text is null").select("doc", "start", (F.col("start") + F.col("pre")).alias("end"))]
     found += [removed_spans(calm.select("seed", "pre", "doc", "start", "text").repartition("seed").sortWithinPartitions("seed")), repeated_suffixes(apart)]
     spans = written(merged_spans(found[0].unionByName(found[1]).unionByName(found[2])), "suffix-spans")
+    discard(rows)
+    discard(hot)
     size = spans.agg(F.coalesce(F.sum(F.octet_length("spans") + 16), F.lit(0))).first()[0]  # checked before it is broadcast
     both = own.join(F.broadcast(spans) if size <= MOST_BROADCAST else spans, "doc", "left").select("doc", "text", "spans")
 
