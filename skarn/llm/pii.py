@@ -6,11 +6,10 @@ co-occurrence, a term t discloses entity c when
 
     PMI(c; t) = log2(p(c, t) / (p(c) p(t)))  >=  IC(c) / ALPHA = -log2 p(c) / ALPHA
 
-that is, when seeing t gives away most of the information that c carries. p(t) is the share
-of all documents that hold t; p(c), p(c, t) count different texts that hold c, or both, so
-that copies of one text are evidence once. A disclosing term becomes a span wherever it
-stands in a document that holds its entity; sanitising replaces numbers and addresses by
-their kind, and terms by their shape's general word or nothing.
+that is, when seeing t gives away most of the information that c carries. p(t), p(c) and
+p(c, t) are shares of all documents, a copy counting like any other. A disclosing term
+becomes a span wherever it stands in a document that holds its entity; sanitising replaces
+numbers and addresses by their kind, and terms by their shape's general word or nothing.
 
 One pass over the texts gives base spans, document counts of words, and the entities and
 words of documents with any. Pairs of entity and term whose counts can't reach the bound,
@@ -28,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.shared import join_groups, slices, trim, written
+from skarn.llm.shared import fresh, join_groups, slices, trim, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information a term may give away; characters a term needs.
 ALPHA, LEAST_CHARS = 1.25, 3
 #: Most frequent words and entities whose counts all tasks know, to leave out pairs early; others pass.
 LISTED = 100_000
-#: Bytes of disclosing terms that a join may broadcast.
-MOST_BROADCAST = 32_000_000
+#: Bytes of disclosing pairs, or of documents' terms, that a join may broadcast.
+MOST_BROADCAST = 64_000_000
 #: Distinct words whose document counts a task holds before it passes them on.
 HELD_WORDS = 120_000
 
@@ -164,7 +163,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def pairs(held: DataFrame, documents: int, words: DataFrame, mentions: DataFrame, alpha: float) -> DataFrame:
-    """``text_hash``, ``entity``, ``term`` of all documents with entities.
+    """``row_id``, ``text_hash``, ``entity``, ``term`` of all documents with entities.
 
     PMI is largest when t stands in every text that holds c: n_t may then be as large as
     N ** (1 - 1 / alpha) * n_c ** (1 / alpha). Pairs over that by the counts listed are left out.
@@ -181,25 +180,25 @@ def pairs(held: DataFrame, documents: int, words: DataFrame, mentions: DataFrame
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, entities, others = known.value
-        cols: tuple[list, ...] = ([], [], [])
-        kinds = {"text_hash": pa.int64(), "entity": pa.string(), "term": pa.string()}
+        cols: tuple[list, ...] = ([], [], [], [])
+        kinds = {"row_id": pa.int64(), "text_hash": pa.int64(), "entity": pa.string(), "term": pa.string()}
         batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], [*kinds])
 
         for b in slices(it):
-            for mark, own, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for row, mark, own, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 counts = [(w, often.get(w, 0)) for w in words.split()]
                 for c in own.split():
                     most = documents ** (1 - 1 / alpha) * entities.get(c, others) ** (1 / alpha) * (1 + 1e-9)
                     terms = [w for w, n in counts if n <= most]
-                    for col, v in zip(cols, ([mark] * len(terms), [c] * len(terms), terms), strict=True):
+                    for col, v in zip(cols, ([row] * len(terms), [mark] * len(terms), [c] * len(terms), terms), strict=True):
                         col += v
                     if len(cols[0]) > 50_000:
                         yield batch()
-                        cols = ([], [], [])
+                        cols = ([], [], [], [])
         yield batch()
         trim()
 
-    return held.select("text_hash", "entities", "words").mapInArrow(batches, "text_hash long, entity string, term string")
+    return held.select("row_id", "text_hash", "entities", "words").mapInArrow(batches, "row_id long, text_hash long, entity string, term string")
 
 
 def terms_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
@@ -208,27 +207,30 @@ def terms_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     base = all_rows.where("tag = 0")
     held = all_rows.where("tag = 1")
     documents = max(1, base.count())
-    entities = held.select("row_id", "text_hash", F.explode(F.split("entities", " ")).alias("entity")).distinct()
-    mentions = written(entities.groupBy("entity").agg(F.count_distinct("text_hash").alias("n_c"), F.count("*").alias("size")), "entities")
+    entities = held.select(F.explode(F.split("entities", " ")).alias("entity"))
+    mentions = written(entities.groupBy("entity").agg(F.count("*").alias("n_c")), "entities")
     words = all_rows.where("tag = 2").groupBy("term").agg(F.sum("docs").alias("n_t"))
-    texts = pairs(held, documents, words, mentions, alpha).distinct()
-    together = texts.groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
+    found = pairs(held, documents, words, mentions, alpha)
+    together = found.groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
     information = F.log2(F.lit(float(documents)) / F.col("n_c"))
     pmi = F.log2(F.col("n_ct") * F.lit(float(documents)) / (F.col("n_c") * F.col("n_t")))
     disclosing = words.join(together, "term").join(mentions, "entity").where(pmi >= information / alpha - 1e-9)
-    disclosing = disclosing.groupBy("entity").agg(F.collect_set("term").alias("terms"), F.first("size").alias("size"))
-    added = join_groups(entities, disclosing, ["entity"], "text_hash")
-    terms = added.groupBy("row_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))  # of one document
-    return base, written(terms, "disclosing")
+    disclosing = written(disclosing.select("entity", "term", F.col("n_ct").alias("size")), "disclosing")
+    # Each document's own pairs meet the disclosing ones, so no list of an entity's terms is gathered.
+    size = disclosing.agg(F.coalesce(F.sum(F.octet_length("entity") + F.octet_length("term") + 40), F.lit(0))).first()[0]
+    key = ["entity", "term"]
+    met = found.join(F.broadcast(disclosing.select(*key)), key) if size <= MOST_BROADCAST else join_groups(found, disclosing, key, "text_hash")
+    return base, written(met.groupBy("row_id", "text_hash").agg(F.collect_set("term").alias("terms")), "document-terms")  # of one document
 
 
 def with_terms(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    """``docs`` with ``_terms``, the disclosing words of each."""
-    terms = terms.select(F.col("row_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("terms").alias("_terms"))
-    small = terms.agg(F.sum(F.size("_terms") * 20 + 60)).first()[0] or 0
+    """``docs`` and a last column, the disclosing words of each."""
+    row, mark, own = fresh(docs, "row_id", "text_hash", "terms")
+    terms = terms.select(F.col("row_id").alias(row), F.col("text_hash").alias(mark), F.col("terms").alias(own))
+    small = terms.agg(F.coalesce(F.sum(F.size(own) * 20 + 60), F.lit(0))).first()[0]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    on = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
-    return docs.join(F.broadcast(terms) if small <= MOST_BROADCAST else terms, on, how)
+    on = docs[id_col].cast("long").eqNullSafe(F.col(row)) & (F.xxhash64(text) == F.col(mark))
+    return docs.join(F.broadcast(terms) if small <= MOST_BROADCAST else terms, on, how).select(*docs.columns, own)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,8 +250,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string())], ["row_id", "text_hash", "term_spans"])
         trim()
 
-    marked = with_terms(docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")), terms, "row_id", "text", "inner")
-    own = marked.select("row_id", F.col("_hash").alias("text_hash"), "text", "_terms").mapInArrow(batches, "row_id long, text_hash long, term_spans string")
+    rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
+    own = with_terms(rows, terms, "row_id", "text", "inner").mapInArrow(batches, "row_id long, text_hash long, term_spans string")
     own = written(own, "term-spans").dropDuplicates(["row_id", "text_hash"])
     both = base.alias("b").join(own.alias("t"), F.expr("b.row_id <=> t.row_id and b.text_hash = t.text_hash"), "left")
     spans = F.array_join(F.filter(F.array(F.col("b.spans"), F.coalesce("t.term_spans", F.lit(""))), lambda x: x != ""), ",")
@@ -284,4 +286,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
         trim()
 
-    return joined.select(*docs.columns, "_terms").mapInArrow(batches, docs.schema)
+    return joined.mapInArrow(batches, docs.schema)
