@@ -372,15 +372,16 @@ def classified(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, thre
     lowest = roots.groupBy("root").agg(F.min("low").alias("lowest"), F.count("*").alias("size"))
     roots = join_groups(roots, lowest, ["root"], "rep").select("rep", "root", "lowest", "texts", "docs")
     classes = sets.select("set_a", "set_b", "rep", "low", "weight").join(roots, "rep", "left")
-    out = marked.select("doc", "mark", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
-    return out.select(
-        F.col("doc").alias(id_col),
-        "mark",
+    # A set that very many rows share is dealt to many parts; rows without words don't take part.
+    known = join_groups(some.select("doc", "mark", "set_a", "set_b"), classes, ["set_a", "set_b"], F.monotonically_increasing_id(), "weight").select(
+        "doc", "mark",
         F.coalesce("root", "rep").alias("class_no"),
-        F.when(F.col("rep").isNull(), F.col("doc")).when(F.col("root").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("class_id"),
-        (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("docs", F.lit(0))).cast("long").alias("n_links"),
+        F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("class_id"),
+        (F.col("weight") - 1 + F.coalesce("docs", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
-    )
+    )
+    none = marked.where("set_a is null").select("doc", "mark", F.lit(None).cast("long").alias("class_no"), F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"))
+    return known.unionByName(none).withColumnRenamed("doc", id_col)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
