@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,15 +44,21 @@ class _Writer:
         self.out = pa.ipc.new_file(self.sink, self.schema)
         self.rest = np.zeros(0, width)
         self.n = 0
-        self.docs: list[tuple[object, int, int]] = []
+        self.first, self.docs = None, 0
+        self.places = pa.schema([("key", id_type), ("start", pa.int64()), ("n", pa.int64())])
+        self.index_sink = fs.open_output_stream(self.path + ".index")
+        self.index = pa.ipc.new_file(self.index_sink, self.places)
 
     def _batch(self, ids: np.ndarray, valid: int) -> None:
         mask = pa.array(np.arange(len(ids)) < valid)
         lists = [pa.FixedSizeListArray.from_arrays(x, self.row) for x in (pa.array(ids, self.kind), mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
-    def add(self, keys: list, ids: np.ndarray, offsets: np.ndarray) -> None:
-        self.docs += [(k, self.n + int(a), int(b - a)) for k, a, b in zip(keys, offsets[:-1], offsets[1:], strict=True)]
+    def add(self, keys: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> None:
+        if not self.docs:
+            self.first = keys[0].as_py()
+        self.index.write_batch(pa.RecordBatch.from_arrays([keys.cast(self.id_type), pa.array(self.n + offsets[:-1], pa.int64()), pa.array(np.diff(offsets), pa.int64())], schema=self.places))
+        self.docs += len(keys)
         self.n += len(ids)
         ids = np.concatenate([self.rest, ids.astype(self.rest.dtype)])
         step = self.row * BATCH_ROWS
@@ -68,20 +75,19 @@ class _Writer:
             self._batch(full, len(self.rest))
         self.out.close()
         self.sink.close()
-        keys, starts, counts = zip(*self.docs, strict=True)
-        index = pa.table({"key": pa.array(keys, self.id_type), "start": pa.array(starts, pa.int64()), "n": pa.array(counts, pa.int64())})
-        with self.fs.open_output_stream(self.path + ".index") as f, pa.ipc.new_file(f, index.schema) as w:
-            w.write_table(index)
-        return self.name, keys[0], len(keys), self.n
+        self.index.close()
+        self.index_sink.close()
+        return self.name, self.first, self.docs, self.n
 
 
 def write(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", row: int = ROW, to: str | None = None) -> DataFrame:
     """Writes ids of whole texts, each followed by ``end_id``, in ascending order of ``id_col``; returns the table of files.
 
-    Columns: ``dir``, ``name``, ``key`` (first id), ``docs``, ``n``, ``base`` (ids in all files before).
+    Columns: ``dir``, ``name``, ``key`` (first id), ``docs``, ``n``, ``part`` and ``seq`` (place of
+    the file), ``base`` (ids in all files before).
     ``to``: a folder that all executors share (by default one in the cluster's shared
     folder). A null text is empty and leaves its end id alone; a null id comes first;
-    repeated ids follow each other in any order; other columns are left out, whatever
+    repeated ids follow each other in the order of a hash of their texts; other columns are left out, whatever
     their names. An empty table writes no file.
     """
     spark = docs.sparkSession
@@ -91,18 +97,18 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_
     from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
     arrow_id = to_arrow_type(id_type)
-    schema = StructType().add("dir", StringType()).add("name", StringType()).add("key", id_type).add("docs", IntegerType()).add("n", LongType())
+    schema = StructType().add("dir", StringType()).add("name", StringType()).add("key", id_type).add("docs", IntegerType()).add("n", LongType()).add("part", IntegerType()).add("seq", IntegerType())
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
         width = np.dtype("u2" if len(coder.tokens) <= 65_536 and end_id < 65_536 else "u4")
-        made, writer = [], None
+        made, writer, part = [], None, TaskContext.get().partitionId()
         for b in slices(it):
             for first, after, ids, offsets in coder.encode(b.column(1)):
                 writer = writer or _Writer(base, width, arrow_id, row)
                 n = after - first
                 ended = np.insert(ids, offsets[1:], np.uint32(end_id))
-                writer.add(b.column(0).slice(first, n).to_pylist(), ended, offsets + np.arange(n + 1))
+                writer.add(b.column(0).slice(first, n), ended, offsets + np.arange(n + 1))
                 if writer.n >= FILE_IDS:
                     made.append(writer.close())
                     writer = None
@@ -111,12 +117,13 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_
         trim()
         if made:
             name, key, count, total = zip(*made, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([base] * len(made)), pa.array(name), pa.array(key, arrow_id), pa.array(count, pa.int32()), pa.array(total, pa.int64())], schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([base] * len(made)), pa.array(name), pa.array(key, arrow_id), pa.array(count, pa.int32()), pa.array(total, pa.int64()), pa.array([part] * len(made), pa.int32()), pa.array(range(len(made)), pa.int32())], schema.names)
 
-    ordered = docs.select(id_col, text_col).repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first())
+    order = [F.col(id_col).asc_nulls_first(), F.xxhash64(F.col(text_col))]  # the hash parts rows of an id that very many have
+    ordered = docs.select(id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
     files = written(ordered.mapInArrow(batches, schema), "token-file-table")
     # One row per file, of which a corpus has one for every 64 million ids or task.
-    before = Window.orderBy(F.col("key").asc_nulls_first(), "name").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
 
 
