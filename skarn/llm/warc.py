@@ -29,6 +29,8 @@ from skarn.llm.shared import new_path, qualified, sized_join, slices, written
 
 #: Ids that share an archive, and children of a node.
 ARCHIVE_IDS, FANOUT = 4096, 16
+#: Most tasks that archives are dealt to.
+MOST_PARTS = 20_000
 #: Records have no date of their own in a table of pages (fixed value).
 DATE = "1970-01-01T00:00:00Z"
 
@@ -114,29 +116,43 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def write_archives(rows: DataFrame, to: str | None = None) -> DataFrame:
-    """Writes :func:`records` to archive files in the order of id, URL and content; returns their catalogue.
+    """Writes :func:`records` to archive files in the order of id, URL and digest; returns their catalogue.
 
     ``to``: a folder that all executors share (by default one in the cluster's shared folder).
+    Records are compressed before they are shuffled to their archives.
     """
     base = qualified(rows.sparkSession, to or new_path(rows.sparkSession, "archives"))
 
+    def compressed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(it):
+            data = b.column(3).to_pylist()
+            made = [pa.array([len(x) for x in data], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in data]), pa.array(map(packed, data), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], ["archive", "page_id", "url", "length", "digest", "member"])
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, now, number, offset = None, None, 0, 0
         for b in slices(it):
             made = []
-            for archive, page, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for archive, page, length, member in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if archive != now:
                     if out:
                         out.close()
                     out, now, number, offset = _Archive(base), archive, 0, 0
-                made.append((archive, number, offset, len(data), page, *out.add(packed(data))))
-                number, offset = number + 1, offset + len(data)
+                made.append((archive, number, offset, length, page, *out.add(member)))
+                number, offset = number + 1, offset + length
             yield _rows(made)
         if out:
             out.close()
 
-    ordered = rows.repartition("archive").sortWithinPartitions("archive", "page_id", "url", "data")
-    return written(ordered.select("archive", "page_id", "data").mapInArrow(batches, CATALOGUE), "archive-catalogue")
+    parts = dealt(rows.select("archive").distinct().count())
+    made = rows.select("archive", "page_id", "url", "data").mapInArrow(compressed, "archive long, page_id long, url string, length long, digest binary, member binary")
+    ordered = made.repartition(parts, "archive").sortWithinPartitions("archive", "page_id", "url", "digest")
+    return written(ordered.select("archive", "page_id", "length", "member").mapInArrow(batches, CATALOGUE), "archive-catalogue")
+
+
+def dealt(archives: int) -> int:
+    """Parts that archives are dealt to: rows say nothing of what lies behind them, so their number is set here."""
+    return min(max(1, 2 * archives), MOST_PARTS)
 
 
 def members(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
@@ -156,7 +172,8 @@ def members(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
 
 
 def by_file(catalogue: DataFrame) -> DataFrame:
-    return catalogue.repartition("name").sortWithinPartitions("name", "record_no")
+    parts = dealt(catalogue.select("name").distinct().count())
+    return catalogue.repartition(parts, "name").sortWithinPartitions("name", "record_no")
 
 
 def replicated(catalogue: DataFrame, edit: Callable[[int | None, bytes], bytes | None], to: str | None = None) -> DataFrame:
