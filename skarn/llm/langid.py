@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from skarn.llm.shared import fresh, slices, trim, written
+from skarn.llm.shared import fresh, sized_join, slices, trim, written
 
 #: Longest context in bytes; bound of the sample: different texts of each language; languages of a model.
 DEPTH, PER_LANGUAGE, BLOCK = 3, 600, 16
@@ -54,10 +54,10 @@ class Model:
 def sample(labelled: DataFrame, per_language: int) -> DataFrame:
     """At most ``per_language`` different texts of each ``lang``, those of the smallest hashes; others drop out before the sort."""
     hashed = labelled.withColumn("_h", F.xxhash64("text"))
-    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n"))
+    sizes = written(hashed.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n")), "language-sizes")
     # Three times the share of hashes that the bound needs: enough texts remain, and the window sees few.
     share = F.pmod("_h", F.lit(1 << 30)) * F.col("_n") < F.lit(3.0 * per_language) * F.lit(1 << 30)
-    kept = hashed.join(sizes, "lang").where(share).groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    kept = sized_join(hashed, sizes, ["lang"]).where(share).groupBy("lang", "_h").agg(F.min("text").alias("text"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 30)), "_h"))
     return kept.withColumn("_k", first).where(F.col("_k") <= per_language).select("lang", "text")
 
