@@ -24,10 +24,10 @@ def chomp(text: Column) -> Column:
 
 
 def common_prefix_length(a: Column, b: Column) -> Column:
-    """Characters that both texts start with."""
+    """Characters that both texts start with; null if either is."""
     n = F.least(F.char_length(a), F.char_length(b))
     first = F.array_min(F.filter(F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
-    return F.coalesce(first - 1, n).cast("long")
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(first - 1, n)).cast("long")
 
 
 def c_escape(text: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from skarn.functions.scalar import field
 from skarn.operators.ordered import running_sums, with_previous
@@ -28,6 +31,23 @@ def lookup_join(rows: DataFrame, dimension: DataFrame, on: dict[str, str], take:
     return joined.select(*rows.columns, *(F.coalesce(F.col(f"_v_{n}").cast("string"), F.lit("")).alias(n) for n in take))
 
 
+def external_lookup(rows: DataFrame, column: str, command: list[str], name: str = "answer") -> DataFrame:
+    """``rows`` with a program's answers: it is run for each Arrow batch, reads one key a line and must write one line for each, which may be empty."""
+
+    def asked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            keys = ["" if k is None else str(k) for k in b.column(b.schema.names.index(column)).to_pylist()]
+            if any("\n" in k for k in keys):
+                raise ValueError("a key has a line end")
+            said = subprocess.run(command, input="".join(k + "\n" for k in keys), capture_output=True, text=True, check=True).stdout if keys else ""
+            answers = said.split("\n")[: said.count("\n")]
+            if len(answers) != len(keys):
+                raise ValueError(f"{len(answers)} answers to {len(keys)} keys")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(answers, pa.string())], [*b.schema.names, name])
+
+    return rows.mapInArrow(asked, StructType([*rows.schema.fields, StructField(name, StringType())]))
+
+
 def project_fields(lines: DataFrame, column: str, places: list[int], delimiter: str = "\t") -> DataFrame:
     """Fields of a delimited line by 1-based place, in the order asked for; missing ones are empty."""
     return lines.select(F.concat_ws(delimiter, *(field(F.col(column), delimiter, p - 1) for p in places)).alias("line"))

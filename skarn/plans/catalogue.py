@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -609,15 +610,16 @@ def regex_submatch(t):
 
 
 @query("""
-WITH r(ch, reading) AS (VALUES ('a', 'a1'), ('a', 'a2'), ('e', 'e1'), ('i', 'i1'), ('i', 'i2'), ('i', 'i3'), ('n', 'n'), ('l', 'l'), ('m', 'm')),
-w AS (SELECT DISTINCT regexp_replace(left(n_name, 3), '[^AEILMN]', '', 'g') AS w FROM nation),
-c AS (SELECT w, lower(w) AS l FROM w WHERE length(w) = 2)
-SELECT DISTINCT l AS word, x.reading || y.reading AS spelling FROM c JOIN r x ON x.ch = substr(l, 1, 1) JOIN r y ON y.ch = substr(l, 2, 1)""")
+WITH RECURSIVE l AS (SELECT substr('abcdefghijklmnopqrstuvwxyz ', CAST(i AS INT), 1) AS ch FROM generate_series(1, 27) g(i)),
+r AS (SELECT ch, ch AS reading FROM l UNION ALL SELECT 'a', 'ah' UNION ALL SELECT 'i', 'ee' UNION ALL SELECT 'i', 'y' UNION ALL SELECT 'c', 'k'),
+s AS (SELECT DISTINCT lower(n_name) AS w, 0 AS n, '' AS done FROM nation
+      UNION ALL SELECT w, n + 1, done || reading FROM s JOIN r ON ch = substr(w, n + 1, 1) WHERE n < length(w))
+SELECT DISTINCT w AS word, done AS spelling FROM s WHERE n = length(w)""")
 def reading_spellings(t):
     nation = t("nation")
-    readings = nation.sparkSession.createDataFrame([("a", "a1"), ("a", "a2"), ("e", "e1"), ("i", "i1"), ("i", "i2"), ("i", "i3"), ("n", "n"), ("l", "l"), ("m", "m")], "ch string, reading string")
-    own = nation.select(F.lower(F.regexp_replace(F.substring("n_name", 1, 3), "[^AEILMN]", "")).alias("word")).where("char_length(word) = 2").distinct()
-    return P.spellings(own, readings)
+    own = [(c, c) for c in string.ascii_lowercase + " "] + [("a", "ah"), ("i", "ee"), ("i", "y"), ("c", "k")]
+    readings = nation.sparkSession.createDataFrame(own, "ch string, reading string")
+    return P.spellings(nation.select(F.lower("n_name").alias("word")).distinct(), readings)
 
 
 # --- Log and document search

@@ -123,6 +123,14 @@ def term_byte_freq(t):
     return terms.select("conv_id", "term", F.least("freq", F.lit(255)).alias("freq"))
 
 
+@query()
+def log_postings(t):
+    # An index over parsed log lines; the scanner of lines has no SQL.
+    line = F.concat_ws(" ", F.col("ts").cast("string"), F.concat(F.lit("id="), F.col("user_id").cast("string")), "event_type", "props")
+    terms = E.parse_log(t("events").select("event_id", line.alias("line")), "event_id", "line")
+    return E.posting_ranges(terms.withColumn("term", F.concat_ws(":", "field", "term")), "event_id", 1000)
+
+
 @query("""
 SELECT to_json({'doc_id': doc_id, 'source': source, 'terms': [lang, source]}) AS line FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""")
 def result_json(t):

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions.scalar import chomp
+from skarn.sources.scratch import stored
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -65,8 +67,10 @@ def read_kv(spark: SparkSession, path: str) -> DataFrame:
         for files in it:
             for content in files["content"]:
                 rows, at = [], 0
-                while at + 8 <= len(content):
+                while at < len(content):
                     k, v = (int.from_bytes(content[at + i : at + i + 4], "little") for i in (0, 4))
+                    if at + 8 + k + v > len(content):
+                        raise ValueError(f"a record at {at} doesn't fit its file")
                     rows.append((content[at + 8 : at + 8 + k], content[at + 8 + k : at + 8 + k + v]))
                     at += 8 + k + v
                 yield pd.DataFrame(rows, columns=["key", "value"])
@@ -74,6 +78,44 @@ def read_kv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(cut, "key binary, value binary")
 
 
+def read_tuples(spark: SparkSession, path: str, arity: int) -> DataFrame:
+    """``path``, ``fields``: records of ``arity`` 32-bit ends of fields, then their bytes. A file is read in order, by one task."""
+
+    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in it:
+            for name, content in zip(files["path"], files["content"], strict=True):
+                rows, at = [], 0
+                while at < len(content):
+                    ends = [int.from_bytes(content[at + 4 * i : at + 4 * i + 4], "little") for i in range(arity)]
+                    at += 4 * arity
+                    if ends != sorted(ends) or at + ends[-1] > len(content):
+                        raise ValueError(f"a record before {at} doesn't fit its file")
+                    rows.append([content[at + a : at + z] for a, z in zip([0, *ends], ends)])
+                    at += ends[-1]
+                yield pd.DataFrame({"path": name, "fields": rows}, columns=["path", "fields"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cut, "path string, fields array<binary>")
+
+
+def tuple_records(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``record``: the columns as one record of :func:`read_tuples` each; nulls are empty."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary") for c in columns]
+    ends = [reduce(lambda a, b: a + b, [F.octet_length(p) for p in parts[: i + 1]]) for i in range(len(parts))]
+    return rows.select(F.concat(*map(little_endian, ends), *parts).alias("record"))
+
+
+def write_outputs(rows: DataFrame, outputs: dict[str, tuple[str, list[str]]]) -> None:
+    """One result to several places: path to (format, columns). The rows are worked out once."""
+    kept = stored(rows, "outputs")
+    for path, (kind, columns) in outputs.items():
+        kept.select(*columns).write.format(kind).save(path)
+
+
+def write_xml(rows: DataFrame, path: str, row: str = "doc", root: str = "result") -> None:
+    """Rows as XML elements ``row`` below ``root``."""
+    rows.write.format("xml").option("rowTag", row).option("rootTag", root).save(path)
+
+
 def little_endian(n) -> F.Column:
     """A length as four bytes, lowest first."""
     digits = F.lpad(F.hex(n), 8, "0")

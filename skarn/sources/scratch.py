@@ -16,7 +16,10 @@ def _own_dir(application: str) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in ``spark.checkpoint.dir``; in a folder of our own only where that is not set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
+    base = base or _own_dir(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/skarn/{name}-{uuid.uuid4().hex}"
 
 

@@ -287,6 +287,57 @@ def test_records_round_trip(spark, tmp_path):
     assert rows(io.read_input_spec(spark, str(tmp_path / "spec.txt"))) == [("h", "s", "l")]
 
 
+def test_tuples_and_outputs(spark, tmp_path):
+    from skarn.sources import io
+
+    df = spark.createDataFrame([("a", "bc"), ("", None)], "x string, y string")
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.bin").write_bytes(b"".join(bytes(r.record) for r in io.tuple_records(df, ["x", "y"]).collect()))
+    got = sorted([bytes(f) for f in r.fields] for r in io.read_tuples(spark, str(tmp_path / "t"), 2).collect())
+    assert got == [[b"", b""], [b"a", b"bc"]]
+    (tmp_path / "t" / "a.bin").write_bytes(b"\1\0\0\0\3\0\0\0xy")
+    with pytest.raises(Exception, match="fit"):
+        io.read_tuples(spark, str(tmp_path / "t"), 2).collect()
+    io.write_outputs(df, {str(tmp_path / "text"): ("text", ["x"]), str(tmp_path / "pq"): ("parquet", ["x", "y"])})
+    assert spark.read.text(str(tmp_path / "text")).count() == 2 and rows(spark.read.parquet(str(tmp_path / "pq")).select("x")) == [("",), ("a",)]
+    io.write_xml(df.where("x = 'a'"), str(tmp_path / "xml"))
+    assert spark.read.format("xml").option("rowTag", "doc").load(str(tmp_path / "xml")).first().y == "bc"
+    (tmp_path / "kv.bin").write_bytes(b"\1\0\0\0\2\0\0\0ab")
+    with pytest.raises(Exception, match="fit"):
+        io.read_kv(spark, str(tmp_path / "kv.bin")).collect()
+
+
+def test_external_lookup(spark):
+    df = spark.createDataFrame([("a",), ("bc",), (None,)], "k string").repartition(2)
+    assert rows(E.external_lookup(df.fillna(""), "k", ["tr", "a-z", "A-Z"])) == [("", ""), ("a", "A"), ("bc", "BC")]
+    with pytest.raises(Exception, match="answers to"):
+        E.external_lookup(df, "k", ["true"]).collect()
+
+
+def test_parsers_are_table_functions(spark):
+    from skarn.functions.parsers import parsed, register_parser
+
+    register_parser(spark, "key_values", lambda text: [tuple(p.split("=")) for p in text.split() if p.count("=") == 1])
+    docs = spark.createDataFrame([(1, "a=1 b=2 a=1"), (2, None), (3, "none")], "d long, t string")
+    assert rows(parsed(docs, "d", "t", "key_values")) == [(1, "a", "1", 2), (1, "b", "2", 1)]
+
+
+def test_lookup_beside_a_stream(spark, tmp_path):
+    spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, v string").parquet(str(tmp_path / "in"))
+    side = spark.createDataFrame([(1, "one")], "id long, name string")
+    out = E.lookup_join(stream, side, {"k": "id"}, {"name": "name"})
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(1, "x", "one"), (2, "y", "")]
+
+
+def test_sessions_over_a_gap(spark):
+    from skarn.streaming import realtime
+
+    df = spark.sql("select timestamp_seconds(s) as at, u from values (0, 'a'), (60, 'a'), (200, 'a'), (0, 'b') as t(s, u)")
+    assert sorted((r.u, r.n) for r in realtime.sessions(df, "at", "u", "100 seconds").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
 def test_realtime_index_equals_batch(spark, tmp_path):
     from skarn.streaming import realtime
 
@@ -308,4 +359,4 @@ def test_range_lookup(spark):
 def test_queries_have_sql():
     from skarn.plans import registry
 
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"log_parse", "hashes", "crc_codes"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"log_parse", "log_postings", "hashes", "crc_codes"}
