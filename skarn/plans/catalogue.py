@@ -612,14 +612,14 @@ def regex_submatch(t):
 @query("""
 WITH RECURSIVE l AS (SELECT substr('abcdefghijklmnopqrstuvwxyz ', CAST(i AS INT), 1) AS ch FROM generate_series(1, 27) g(i)),
 r AS (SELECT ch, ch AS reading FROM l UNION ALL SELECT 'a', 'ah' UNION ALL SELECT 'i', 'ee' UNION ALL SELECT 'i', 'y' UNION ALL SELECT 'c', 'k'),
-s AS (SELECT DISTINCT lower(n_name) AS w, 0 AS n, '' AS done FROM nation
+s AS (SELECT DISTINCT lower(p_name) AS w, 0 AS n, '' AS done FROM part
       UNION ALL SELECT w, n + 1, done || reading FROM s JOIN r ON ch = substr(w, n + 1, 1) WHERE n < length(w))
 SELECT DISTINCT w AS word, done AS spelling FROM s WHERE n = length(w)""")
 def reading_spellings(t):
-    nation = t("nation")
+    part = t("part")
     own = [(c, c) for c in string.ascii_lowercase + " "] + [("a", "ah"), ("i", "ee"), ("i", "y"), ("c", "k")]
-    readings = nation.sparkSession.createDataFrame(own, "ch string, reading string")
-    return P.spellings(nation.select(F.lower("n_name").alias("word")).distinct(), readings)
+    readings = part.sparkSession.createDataFrame(own, "ch string, reading string")
+    return P.spellings(part.select(F.lower("p_name").alias("word")).distinct(), readings)
 
 
 # --- Log and document search
