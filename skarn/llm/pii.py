@@ -209,7 +209,7 @@ def terms_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     documents = max(1, base.count())
     entities = held.select(F.explode(F.split("entities", " ")).alias("entity"))
     mentions = written(entities.groupBy("entity").agg(F.count("*").alias("n_c")), "entities")
-    words = all_rows.where("tag = 2").groupBy("term").agg(F.sum("docs").alias("n_t"))
+    words = written(all_rows.where("tag = 2").groupBy("term").agg(F.sum("docs").alias("n_t")), "word-counts", "zstd")
     found = pairs(held, documents, words, mentions, alpha)
     together = found.groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
     information = F.log2(F.lit(float(documents)) / F.col("n_c"))
