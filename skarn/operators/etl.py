@@ -103,10 +103,19 @@ def posting_ranges(terms: DataFrame, doc: str, most: int = 100_000) -> DataFrame
 
 
 def range_lookup(points: DataFrame, at: str, ranges: DataFrame, start: str, end: str, width: int, take: list[str]) -> DataFrame:
-    """Columns ``take`` of the range [start, end) that each point lies in: an equi-join on cells of ``width``, then the test."""
-    cells = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
-    near = points.withColumn("_cell", F.floor(F.col(at) / width))
-    hit = near.join(cells.select("_cell", start, end, *take), "_cell").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
+    """Columns ``take`` of the range [start, end) that each point lies in: an equi-join on cells, then the test.
+
+    Cells are ``width`` wide, 64 times as wide for ranges over 64 cells, and so on, so no
+    range has over 65 cells; points look in the cells of every width that ranges use.
+    """
+    size = F.greatest((F.col(end) - F.col(start)) / width, F.lit(1.0))
+    level = F.floor(F.log(64.0, size) - 1e-9).cast("int")
+    levelled = ranges.withColumn("_level", F.greatest(level, F.lit(0)))
+    used = sorted(r[0] for r in levelled.select("_level").distinct().collect())  # a handful, whatever the ranges
+    cell = lambda c: F.floor(F.col(c) / (F.lit(width) * F.pow(F.lit(64.0), F.col("_level"))))
+    cells = levelled.withColumn("_last", F.col(end) - 1).withColumn("_cell", F.explode(F.sequence(cell(start), cell("_last"))))
+    near = points.withColumn("_level", F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).withColumn("_cell", cell(at))
+    hit = near.join(cells.select("_level", "_cell", start, end, *take), ["_level", "_cell"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
     return hit.select(*points.columns, start, *take)
 
 

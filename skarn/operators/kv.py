@@ -45,12 +45,14 @@ def compact_log(log: DataFrame) -> DataFrame:
 
     ``set`` puts a value, ``del`` takes the key away, ``add`` puts a value only if the key
     is absent. What counts is what follows the last ``del``: the last ``set``, or without
-    one the first ``add``. Two aggregates by key, so a hot key is combined before it moves.
+    one the first ``add``. One aggregate by key settles most keys, and a hot key is combined
+    before it moves; only ``add`` rows of keys with a ``del`` and no later ``set`` are read again.
     """
-    gone = log.groupBy("key").agg(F.max(F.when(F.col("op") == "del", F.col("seq"))).alias("gone"))
-    alive = log.join(gone, "key").where((F.col("op") != "del") & (F.col("gone").isNull() | (F.col("seq") > F.col("gone"))))
     entry = F.struct("seq", "val")
-    kept = alive.groupBy("key").agg(
-        F.max_by(entry, F.when(F.col("op") == "set", F.col("seq"))).alias("last_set"), F.min_by(entry, F.when(F.col("op") == "add", F.col("seq"))).alias("first_add")
-    )
-    return kept.select("key", F.coalesce("last_set", "first_add").alias("e")).select("key", "e.seq", "e.val")
+    at = lambda op: F.when(F.col("op") == op, F.col("seq"))
+    by_key = log.groupBy("key").agg(F.max(at("del")).alias("gone"), F.max_by(entry, at("set")).alias("last_set"), F.min_by(entry, at("add")).alias("first_add"))
+    live_set = F.col("last_set").isNotNull() & (F.col("gone").isNull() | (F.col("last_set.seq") > F.col("gone")))
+    settled = by_key.where(live_set | F.col("gone").isNull()).select("key", F.when(live_set, F.col("last_set")).otherwise(F.col("first_add")).alias("e"))
+    open_keys = by_key.where(~live_set & F.col("gone").isNotNull()).select("key", "gone")
+    later = log.where("op = 'add'").join(open_keys, "key").where("seq > gone").groupBy("key").agg(F.min_by(entry, "seq").alias("e"))
+    return settled.unionByName(later).select("key", "e.seq", "e.val")

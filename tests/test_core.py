@@ -86,6 +86,17 @@ def test_oplog(spark):
     log = [(1, "add", "a", 1), (2, "add", "a", 2), (3, "add", "b", 3), (4, "set", "b", 4), (5, "del", "b", None), (6, "add", "b", 6), (7, "set", "c", 7), (8, "del", "d", None)]
     got = rows(K.compact_log(spark.createDataFrame(log, "seq long, op string, key string, val long")))
     assert got == [("a", 1, 1), ("b", 6, 6), ("c", 7, 7)]
+    r = random.Random(4)
+    many, want = [(i, r.choice(["add", "set", "del"]), f"k{r.randrange(12)}", i) for i in range(90)], {}
+    for seq, op, key, val in many:
+        if op == "del":
+            want.pop(key, None)
+        elif op == "set" or key not in want:
+            want[key] = (seq, val)
+    got = rows(K.compact_log(spark.createDataFrame(many, "seq long, op string, key string, val long")))
+    last = {k: max((s for s, o, x, _ in many if x == k and o == "del"), default=-1) for k in want}
+    first = {k: min([s for s, o, x, _ in many if x == k and o == "set" and s > last[k]][-1:] or [s for s, o, x, _ in many if x == k and o == "add" and s > last[k]]) for k in want}
+    assert got == sorted((k, s, s) for k, s in first.items())
 
 
 def test_unique_value_is_strict(spark):
@@ -354,6 +365,10 @@ def test_range_lookup(spark):
     points = spark.createDataFrame([(0,), (9,), (10,), (99,)], "p long")
     ranges = spark.createDataFrame([(0, 10, "a"), (10, 60, "b")], "lo long, hi long, f string")
     assert rows(E.range_lookup(points, "p", ranges, "lo", "hi", 20, ["f"])) == [(0, 0, "a"), (9, 0, "a"), (10, 10, "b")]
+    wide = spark.createDataFrame([(0, 5, "a"), (5, 10**9, "b"), (10**9, 10**9 + 65, "c"), (2 * 10**9, 2 * 10**9, "none")], "lo long, hi long, f string")
+    many = spark.createDataFrame([(0,), (4,), (5,), (999_999_999,), (10**9,), (10**9 + 64,), (10**9 + 65,)], "p long")
+    assert [r[2] for r in rows(E.range_lookup(many, "p", wide, "lo", "hi", 1, ["f"]))] == ["a", "a", "b", "b", "c", "c"]
+    assert E.range_lookup(many, "p", wide.limit(0), "lo", "hi", 1, ["f"]).count() == 0
 
 
 def test_queries_have_sql():
