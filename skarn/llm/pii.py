@@ -1,8 +1,8 @@
 """Personal data and information-theoretic sanitisation (op 10).
 
 Base spans are emails, IP addresses, card and phone numbers found by pattern. Each found
-value is a protected entity. Other words of its documents may disclose it: by corpus
-co-occurrence, a term t discloses entity c when
+value is a protected entity. Other words of its documents, runs of letters and digits, may
+disclose it: by corpus co-occurrence, a term t discloses entity c when
 
     PMI(c; t) = log2(p(c, t) / (p(c) p(t)))  >=  IC(c) / ALPHA = -log2 p(c) / ALPHA
 
@@ -43,7 +43,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")  # a run of digits either matches from its first one or not at all
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W_]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
