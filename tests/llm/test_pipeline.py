@@ -75,7 +75,7 @@ def cleaned(texts):
     """Texts without personal data and the words that disclose it."""
     spans = [base(t) for _, t in texts]
     inside = lambda m, own: any(m.start() < b and a < m.end() for a, b, _ in own)
-    words = [[m for m in re.finditer(r"[^\W\d_]+", t) if len(m[0]) >= 3] for _, t in texts]
+    words = [[m for m in re.finditer(r"[^\W_]+", t) if len(m[0]) >= 3] for _, t in texts]
     n_t = Counter(w for own in words for w in {m[0].lower() for m in own})
     values = [{(k, t[a:b].lower() if k == "EMAIL" else re.sub(r"[^0-9.]" if k == "IP" else r"\D", "", t[a:b])) for a, b, k in own} for (_, t), own in zip(texts, spans, strict=True)]
     outside = [{m[0].lower() for m in own if not inside(m, x)} for own, x in zip(words, spans, strict=True)]
