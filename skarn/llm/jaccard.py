@@ -108,12 +108,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
         for part in slices(it):
             names, hashes = [], []
             for s in shingle_sets(part.column(2), n):
-                names.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist() if len(s) else (None, None))
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                names.append(np.frombuffer(digest, "<i8").tolist() if len(s) else (None, None))
                 hashes.append(min_hashes(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)), pa.array(hashes, pa.binary())], ["doc", "mark", "set_a", "set_b", "hashes"])
+            sets = [pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], *sets, pa.array(hashes, pa.binary())], ["doc", "mark", "set_a", "set_b", "hashes"])
         trim()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), text_col).mapInArrow(batches, "doc long, mark long, set_a long, set_b long, hashes binary")
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), mark.alias("mark"), text_col)
+    return rows.mapInArrow(batches, "doc long, mark long, set_a long, set_b long, hashes binary")
 
 
 def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
@@ -237,7 +241,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = join_groups(both, low, ["u"], "v").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.distinct(), name)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
-        small = join_groups(large, low, ["u"], "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
+        small = join_groups(large, low, ["u"], "v").select(F.explode(ends).alias("e")).select("e.*")
         edges = written(small.where("u <> v").distinct(), name)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
@@ -350,8 +355,11 @@ def classified(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, thre
     comps = components(edges)
 
     sizes = comps.groupBy("root").agg(F.count("*").alias("size"))
-    placed = written(join_groups(comps, sizes, ["root"], "node").join(sets.select(F.col("rep").alias("node"), "weight", "source.id", "source.mark"), "node").select(F.col("root").alias("comp"), "size", F.col("node").alias("doc"), "weight", "id", "mark"), "component-members")
-    texts = docs.select(_known_id(F.col(id_col).cast("long")).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("_text"))
+    sourced = sets.select(F.col("rep").alias("node"), "weight", "source.id", "source.mark")
+    placed = join_groups(comps, sizes, ["root"], "node").join(sourced, "node")
+    placed = written(placed.select(F.col("root").alias("comp"), "size", F.col("node").alias("doc"), "weight", "id", "mark"), "component-members")
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    texts = docs.select(_known_id(F.col(id_col).cast("long")).alias("id"), mark.alias("mark"), F.col(text_col).alias("_text"))
     chosen = sized_join(texts, placed, ["id", "mark"]).select("comp", "size", "doc", "weight", "_text")
     if not some.groupBy(_known_id(F.col("doc")), "mark").count().where("count > 1").isEmpty():
         chosen = chosen.dropDuplicates(["doc"])  # rows that repeat id and text
@@ -380,7 +388,10 @@ def classified(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, thre
         (F.col("weight") - 1 + F.coalesce("docs", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
     )
-    none = marked.where("set_a is null").select("doc", "mark", F.lit(None).cast("long").alias("class_no"), F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"))
+    none = marked.where("set_a is null").select(
+        "doc", "mark", F.lit(None).cast("long").alias("class_no"), F.col("doc").alias("class_id"),
+        F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"),
+    )
     return known.unionByName(none).withColumnRenamed("doc", id_col)
 
 

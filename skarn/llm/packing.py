@@ -62,10 +62,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col:
                         crc.append(zlib.crc32(part.tobytes()))
                         rank.append(seen[len(part)])
                         seen[len(part)] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(row), pa.int32()), pa.array(rank, pa.int64())],
-                    schema.names,
-                )
+                long = [pa.array(x, pa.int64()) for x in (start, length, crc)]
+                columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *long]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([task] * len(row), pa.int32()), pa.array(rank, pa.int64())], schema.names)
         trim()
 
     return docs.select(id_col, text_col).mapInArrow(batches, schema)

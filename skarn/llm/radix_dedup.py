@@ -43,7 +43,9 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), ascii_lower(F.col(text_col)).alias("norm")).select(
         "row_id", "norm", F.octet_length("norm").alias("n"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha")
     )
-    heads = written(rows.select("row_id", F.col("row_id").isNull().alias("no_id"), F.coalesce("row_id", F.lit(0)).alias("id"), "n", "sha", F.substring(F.col("norm").cast("binary"), 1, FIRST_BYTES).alias("digit")), "radix-heads")
+    digit = F.substring(F.col("norm").cast("binary"), 1, FIRST_BYTES)
+    keyed = [F.col("row_id").isNull().alias("no_id"), F.coalesce("row_id", F.lit(0)).alias("id")]
+    heads = written(rows.select("row_id", *keyed, "n", "sha", digit.alias("digit")), "radix-heads")
     groups = heads.groupBy("n", "digit").agg(F.count("*").alias("size"), F.min(F.struct(*KEY)).alias("gid")).where("size > 1")
     state = written(join_groups(heads, groups, ["n", "digit"], "id").select(*KEY, "n", "gid"), "radix-0")
     at, width = FIRST_BYTES, FIRST_BYTES * GROWTH
@@ -51,8 +53,7 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     state = state.where(F.col("n") > at)
     longest = state.agg(F.max("n")).first()[0] or 0
     if longest > at:
-        keyed = rows.withColumn("no_id", F.col("row_id").isNull()).withColumn("id", F.coalesce("row_id", F.lit(0)))
-        alive = sized_join(keyed, state.select(*KEY).distinct(), KEY, "left_semi", rows=500_000)
+        alive = sized_join(rows.select("*", *keyed), state.select(*KEY).distinct(), KEY, "left_semi", rows=500_000)
         texts = written(alive.select(*KEY, F.col("norm").cast("binary").alias("norm")).dropDuplicates(KEY), "radix-texts")
     while longest > at:
         digits = texts.join(state, KEY).select(*KEY, "n", "gid", F.substring("norm", at + 1, width).alias("digit"))

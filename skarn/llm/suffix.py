@@ -567,7 +567,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone.append(len(text) - len(rest))
                 count.append(len(pairs))
                 kept.append(hashlib.sha256(rest).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, count)), pa.array(kept, pa.string())], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            counts = [pa.array(x, pa.int64()) for x in (n, gone, count)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(kept, pa.string())], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     out = both.mapInArrow(batches, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(F.when(F.col("doc") > -(2**63), F.col("doc")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")

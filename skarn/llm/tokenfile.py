@@ -117,7 +117,9 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_
         trim()
         if made:
             name, key, count, total = zip(*made, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([base] * len(made)), pa.array(name), pa.array(key, arrow_id), pa.array(count, pa.int32()), pa.array(total, pa.int64()), pa.array([part] * len(made), pa.int32()), pa.array(range(len(made)), pa.int32())], schema.names)
+            columns = [pa.array([base] * len(made)), pa.array(name), pa.array(key, arrow_id), pa.array(count, pa.int32()), pa.array(total, pa.int64())]
+            places = [pa.array([part] * len(made), pa.int32()), pa.array(range(len(made)), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, *places], schema.names)
 
     order = [F.col(id_col).asc_nulls_first(), F.xxhash64(F.col(text_col))]  # the hash parts rows of an id that very many have
     ordered = docs.select(id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
@@ -171,9 +173,8 @@ def sequences(files: DataFrame) -> DataFrame:
                     for k in range(reader.num_record_batches):
                         batch = reader.get_batch(k)
                         n = batch.num_rows
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([f["name"]] * n), pa.array(np.arange(at, at + n)), batch.column(0).cast(pa.list_(pa.int32())), batch.column(1).cast(pa.list_(pa.bool_()))], ["name", "row", "ids", "mask"]
-                        )
+                        lists = [batch.column(0).cast(pa.list_(pa.int32())), batch.column(1).cast(pa.list_(pa.bool_()))]
+                        yield pa.RecordBatch.from_arrays([pa.array([f["name"]] * n), pa.array(np.arange(at, at + n)), *lists], ["name", "row", "ids", "mask"])
                         at += n
 
     return files.select("dir", "name").mapInArrow(batches, "name string, row long, ids array<int>, mask array<boolean>")
