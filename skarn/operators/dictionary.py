@@ -102,9 +102,8 @@ def longest_shared_prefix(words: DataFrame, probes: DataFrame) -> DataFrame:
 
 def neighbours(d: DataFrame) -> DataFrame:
     """``word``, ``before``, ``after``: the words next to each in order; null at the ends."""
-    near = d.select("word", F.explode(F.array(F.struct((F.col("id") + 1).alias("id"), F.lit("before").alias("side")), F.struct((F.col("id") - 1).alias("id"), F.lit("after").alias("side")))).alias("e"))
-    side = lambda x: near.where(F.col("e.side") == x).select(F.col("e.id").alias("id"), F.col("word").alias(x))
-    return d.join(side("before"), "id", "left").join(side("after"), "id", "left").select("word", "before", "after")
+    side = lambda name, step: d.select((F.col("id") + step).alias("id"), F.col("word").alias(name))
+    return d.join(side("before", 1), "id", "left").join(side("after", -1), "id", "left").select("word", "before", "after")
 
 
 def longest_word_prefix(d: DataFrame, texts: DataFrame, column: str) -> DataFrame:

@@ -196,7 +196,8 @@ def fuzzy_join(words: DataFrame, k: int) -> DataFrame:
 def swapped(a: Column, b: Column) -> Column:
     """Whether two texts of one length differ by one swap of neighbouring characters."""
     n = F.char_length(a)
-    swap = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, n))
+    one = F.lit(1)
+    swap = lambda i: F.concat(F.substring(a, one, i - 1), F.substring(a, i + 1, one), F.substring(a, i, one), F.substring(a, i + 2, n))
     return (n == F.char_length(b)) & (n > 1) & (a != b) & F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: swap(i) == b)
 
 
