@@ -6,7 +6,7 @@ Positions are characters from 1 where results say ``pos``; use :func:`byte_offse
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -93,21 +93,33 @@ def byte_offset(column: str, pos: str) -> Column:
     return F.octet_length(F.expr(f"left({column}, {pos} - 1)")).cast("long")
 
 
-def _accepted(text: Column, pattern: Column) -> Column:
-    """Lengths of the prefixes of a text that a whole pattern matches."""
+def _halved(text: Column, holds: Callable[[Column], Column]) -> Column:
+    """The largest length up to the text's that ``holds``, which must hold for all smaller ones; found by halving, so in a few tests."""
     n = F.char_length(text)
-    lengths = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.filter(lengths, lambda k: F.rlike(F.substring(text, F.lit(1), k), F.concat(F.lit("^(?:"), pattern, F.lit(r")\z"))))
+    steps = F.when(n > 0, F.transform(F.sequence(F.floor(F.log2(n)), F.lit(0)), lambda k: F.pow(F.lit(2.0), k).cast("int")))
+    grown = lambda best, step: F.when((best + step <= n) & holds(best + step), best + step).otherwise(best)
+    return F.coalesce(F.aggregate(steps, F.lit(0), grown), F.lit(0)).cast("long")
+
+
+def _reaches(text: Column, pattern: Column, rest: Column) -> Column:
+    """Whether some match from the start, of one character or more, leaves as much of the text as ``rest`` (a quantifier) says."""
+    return F.rlike(text, F.concat(F.lit("^(?:"), pattern, F.lit(r")(?<=[\s\S])(?=[\s\S]{"), rest, F.lit(r"}\z)")))
 
 
 def longest_match(text: Column, pattern: Column) -> Column:
-    """Length of the longest prefix that matches, 0 if none: longest over all alternatives, which a search is not."""
-    return F.coalesce(F.array_max(_accepted(text, pattern)), F.lit(0)).cast("long")
+    """Length of the longest prefix that matches, 0 if none: longest over all alternatives, which a search is not.
+
+    That some match has at least so many characters holds for all smaller numbers too.
+    """
+    n = F.char_length(text)
+    return _halved(text, lambda k: _reaches(text, pattern, F.concat(F.lit("0,"), (n - k).cast("string"))))
 
 
 def shortest_match(text: Column, pattern: Column) -> Column:
-    """Length of the shortest prefix that matches, 0 if none."""
-    return F.coalesce(F.array_min(_accepted(text, pattern)), F.lit(0)).cast("long")
+    """Length of the shortest prefix that matches, 0 if none: one more than the most characters that no match stays within."""
+    n = F.char_length(text)
+    within = lambda k: _reaches(text, pattern, F.concat((n - k).cast("string"), F.lit(",")))
+    return F.when((n > 0) & within(n), _halved(text, lambda k: ~within(k)) + 1).otherwise(F.lit(0)).cast("long")
 
 
 def match_set(texts: DataFrame, column: str, patterns: DataFrame) -> DataFrame:
@@ -119,7 +131,7 @@ def match_set(texts: DataFrame, column: str, patterns: DataFrame) -> DataFrame:
 
 
 def find_all(texts: DataFrame, column: str, pattern: str) -> DataFrame:
-    """``column``, ``pos``, ``len``: the longest match at every start, so matches overlap. For short fields."""
+    """``column``, ``pos``, ``len``: the longest match at every start, so matches overlap."""
     n = F.char_length(column)
     starts = texts.select(column, F.explode(F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))).alias("pos"))
     rest = F.expr(f"substring({column}, pos)")

@@ -130,6 +130,14 @@ def test_regex_longest_is_not_first(spark):
     df = spark.createDataFrame([("xyz", "x|xyz"), ("aaab", "a{1,3}|ab"), ("q", "x"), ("", "x")], "s string, p string")
     got = [tuple(r) for r in df.select("s", P.longest_match(F.col("s"), F.col("p")), P.shortest_match(F.col("s"), F.col("p"))).collect()]
     assert got == [("xyz", 3, 1), ("aaab", 3, 1), ("q", 0, 0), ("", 0, 0)]
+    r = random.Random(2)
+    import re
+
+    cases = [("".join(r.choices("ab\nc", k=r.randint(0, 9))), r.choice(["a|ab|abab", "(ab|a)*c?", "[ab]{2,5}", "b*", "a[\\s\\S]c", "c+|cab"])) for _ in range(120)]
+    got = spark.createDataFrame(cases, "s string, p string").select("s", "p", P.longest_match(F.col("s"), F.col("p")), P.shortest_match(F.col("s"), F.col("p"))).collect()
+    for text, p, long, short in got:
+        lengths = [k for k in range(1, len(text) + 1) if re.fullmatch(p, text[:k])]
+        assert (long, short) == (max(lengths, default=0), min(lengths, default=0)), (text, p)
 
 
 def test_overlapping_hits(spark):
