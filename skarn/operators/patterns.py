@@ -243,13 +243,20 @@ def longest_frequent(texts: DataFrame, column: str, words: DataFrame, least_leng
     return best.select(column, F.col("pos").cast("long").alias("pos"), F.col("best.len").cast("long").alias("len"), "best.freq")
 
 
-def spellings(words: DataFrame, readings: DataFrame) -> DataFrame:
-    """``word``, ``spelling``: every way to read a word whose characters have several readings (``ch``, ``reading``)."""
+def spellings(words: DataFrame, readings: DataFrame, initials_from: int | None = None) -> DataFrame:
+    """``word``, ``spelling``: every way to read a word whose characters have several readings (``ch``, ``reading``).
+
+    ``initials_from``: in words of so many characters or more, the first letter of a reading
+    also stands for it. Spellings are as many as the readings' product, so words are to be short.
+    """
     table = readings.groupBy("ch").agg(F.sort_array(F.collect_set("reading")).alias("own"))
     chars = words.select("word", F.posexplode(F.split("word", "")).alias("place", "ch"))
     by_word = chars.join(table, "ch").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("place", "own"))).alias("each"))
     whole = by_word.where(F.size("each") == F.char_length("word"))
+    if initials_from is not None:
+        short = F.transform("each", lambda e: F.struct(e["place"], F.array_union(e["own"], F.transform(e["own"], lambda r: F.left(r, F.lit(1)))).alias("own")))
+        whole = whole.withColumn("each", F.when(F.char_length("word") >= initials_from, short).otherwise(F.col("each")))
     grown = F.aggregate(
         F.transform("each", lambda e: e["own"]), F.array(F.lit("")), lambda done, own: F.flatten(F.transform(done, lambda d: F.transform(own, lambda r: F.concat(d, r))))
     )
-    return whole.select("word", F.explode(grown).alias("spelling"))
+    return whole.select("word", F.explode(F.array_distinct(grown)).alias("spelling"))

@@ -242,6 +242,15 @@ def test_fuzzy_join_model(spark):
     assert rows(P.fuzzy_join(words(spark, own), 2)) == want
 
 
+def test_spellings(spark):
+    readings = spark.createDataFrame([("x", "xi"), ("x", "she"), ("y", "yu")], "ch string, reading string")
+    own = words(spark, ["xy", "x", "xz"])
+    assert rows(P.spellings(own, readings)) == [("x", "she"), ("x", "xi"), ("xy", "sheyu"), ("xy", "xiyu")]
+    short = {s for w, s in rows(P.spellings(own, readings, initials_from=2)) if w == "xy"}
+    assert short == {a + b for a in ("xi", "x", "she", "s") for b in ("yu", "y")}
+    assert ("x", "s") not in rows(P.spellings(own, readings, initials_from=2))
+
+
 def test_literal_prefix():
     assert P.literal_prefix("lang:[a-e]") == "lang:"
     assert P.literal_prefix("ab*c") == "a"
