@@ -25,7 +25,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.shared import new_path, qualified, sized_join, slices, written
+from skarn.llm.shared import new_path, qualified, sized_join, slices, trim, written
 
 #: Ids that share an archive, and children of a node.
 ARCHIVE_IDS, FANOUT = 4096, 16
@@ -128,6 +128,7 @@ def write_archives(rows: DataFrame, to: str | None = None) -> DataFrame:
             data = b.column(3).to_pylist()
             made = [pa.array([len(x) for x in data], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in data]), pa.array(map(packed, data), pa.binary())]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], ["archive", "page_id", "url", "length", "digest", "member"])
+        trim()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, now, number, offset = None, None, 0, 0
@@ -143,6 +144,7 @@ def write_archives(rows: DataFrame, to: str | None = None) -> DataFrame:
             yield _rows(made)
         if out:
             out.close()
+        trim()
 
     parts = dealt(rows.select("archive").distinct().count())
     made = rows.select("archive", "page_id", "url", "data").mapInArrow(compressed, "archive long, page_id long, url string, length long, digest binary, member binary")
@@ -152,7 +154,7 @@ def write_archives(rows: DataFrame, to: str | None = None) -> DataFrame:
 
 def dealt(archives: int) -> int:
     """Parts that archives are dealt to: rows say nothing of what lies behind them, so their number is set here."""
-    return min(max(1, 2 * archives), MOST_PARTS)
+    return min(max(1, archives), MOST_PARTS)
 
 
 def members(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
@@ -198,6 +200,7 @@ def replicated(catalogue: DataFrame, edit: Callable[[int | None, bytes], bytes |
             out.close()
         if made:
             yield _rows(made)
+        trim()
 
     return written(by_file(catalogue).mapInArrow(batches, CATALOGUE), "archive-catalogue")
 
@@ -256,6 +259,7 @@ def trees(catalogue: DataFrame, replica: int, height: int, fanout: int = FANOUT)
                 leaves.append((r["record_no"], hashlib.sha256(data).hexdigest(), r["offset"], r["offset"] + r["length"], r["page_id"]))
         if leaves:
             yield nodes(now[1], leaves)
+        trim()
 
     return by_file(catalogue).mapInArrow(batches, NODES)
 
