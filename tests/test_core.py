@@ -335,6 +335,28 @@ def test_tuples_and_outputs(spark, tmp_path):
         io.read_kv(spark, str(tmp_path / "kv.bin")).collect()
 
 
+def test_lines_of_addresses_and_programs(spark, tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    from skarn.sources.external import read_lines_of, read_settings
+
+    (tmp_path / "a.txt").write_text("one\ntwo é\n")
+    serve = functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path))
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), serve) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        url = f"http://127.0.0.1:{server.server_port}/a.txt"
+        got = rows(read_lines_of(spark, [url], ["printf 'x\\ny\\n'"]))
+        server.shutdown()
+    assert got == [(url, "one"), (url, "two é"), ("printf 'x\\ny\\n'", "x"), ("printf 'x\\ny\\n'", "y")]
+    assert read_lines_of(spark).count() == 0
+    with pytest.raises(Exception, match="ended with"):
+        read_lines_of(spark, commands=["false"]).collect()
+    (tmp_path / "b.ini").write_text("a = 1\n[db]\n; no\nhost=h=1\na=2\na=3\n[x]\n")
+    assert rows(read_settings(spark, str(tmp_path / "b.ini"))) == [("", "a", "1"), ("db", "a", "3"), ("db", "host", "h=1")]
+
+
 def test_external_lookup(spark):
     df = spark.createDataFrame([("a",), ("bc",), (None,)], "k string").repartition(2)
     assert rows(E.external_lookup(df.fillna(""), "k", ["tr", "a-z", "A-Z"])) == [("", ""), ("a", "A"), ("bc", "BC")]
