@@ -5,6 +5,8 @@ import math
 import random
 import re
 
+import pytest
+
 from helpers import by_id
 
 
@@ -40,9 +42,13 @@ def test_sanitise(docs, texts, nothing):
     assert find(nothing).count() == 0 and sanitise(nothing).count() == 0
 
 
-def test_terms_of_whole_documents(spark):
+@pytest.mark.parametrize("most", [0, 64_000_000])
+def test_terms_of_whole_documents(spark, monkeypatch, most):
+    from skarn.llm import pii
     from skarn.llm.pii import base_spans, find, sanitise
 
+    monkeypatch.setattr(pii, "MOST_BROADCAST", most)  # 0: joins are shuffled
+
     r = random.Random(3)
     words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(30)]
     make = lambda n: " ".join(r.sample(words, n))
