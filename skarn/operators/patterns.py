@@ -125,9 +125,13 @@ def shortest_match(text: Column, pattern: Column) -> Column:
 def match_set(texts: DataFrame, column: str, patterns: DataFrame) -> DataFrame:
     """``column``, ``pid``, ``len``: every pattern of ``pid, pattern`` that matches some prefix, with the longest it matches.
 
-    Patterns are as many as a caller lists, and meet each text in one pass.
+    Patterns are as many as a caller lists, and meet each text in one pass. One plain test
+    tells which match; lengths are looked for behind the join, where no filter moves them
+    into it: in a fresh session Spark loses a column of a join condition with lambdas.
     """
-    return texts.join(F.broadcast(patterns)).select(column, "pid", longest_match(F.col(column), F.col("pattern")).alias("len")).where("len > 0")
+    text, pattern = F.col(column), F.col("pattern")
+    pairs = texts.join(F.broadcast(patterns), _reaches(text, pattern, F.lit("0,")))
+    return pairs.select(column, "pid", F.stack(F.lit(1), longest_match(text, pattern)).alias("len"))
 
 
 def find_all(texts: DataFrame, column: str, pattern: str) -> DataFrame:

@@ -1,6 +1,10 @@
 """Operators of the core on small inputs: fixtures, edge cases, models in plain Python."""
 
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +166,23 @@ def test_pattern_sets(spark, tmp_path):
     assert [r[0] for r in texts.select(P.has_hit(F.col("t"), {"x": "x+", "a": "a.c", "q": "q"})).collect()] == [["x", "a"], []]
 
 
+def test_pattern_sets_in_a_fresh_session(tmp_path):
+    # Columns have small numbers only in a new process; the numbers are those of the query on part.
+    code = """
+from pyspark.sql import SparkSession
+from skarn.operators import dictionary as D, patterns as P
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+part = spark.read.schema("a long, b string, c string, t string, d long, e double").csv("part.csv")
+patterns = spark.createDataFrame([(0, "S[A-Z]*"), (1, "[A-Z]+ [A-Z]+"), (2, "LA|L"), (3, "Q*")], "pid int, pattern string")
+found = P.match_set(D.word_set(part, "t").withColumnRenamed("word", "s"), "s", patterns)
+print("found", sorted(map(tuple, found.collect())), sorted(map(tuple, found.where("len > 2").collect())))
+"""
+    (tmp_path / "part.csv").write_text("0,n,b,SMALL,1,1.0\n1,n,b,,1,1.0\n2,n,b,LARGE S,1,1.0\n")
+    env = os.environ | {"PYTHONPATH": str(Path(P.__file__).resolve().parents[2])}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120).stdout
+    assert f"found {[('LARGE S', 1, 7), ('LARGE S', 2, 2), ('SMALL', 0, 5)]} {[('LARGE S', 1, 7), ('SMALL', 0, 5)]}" in said
+
+
 def test_swaps(spark):
     own = ["abcd", "abdc", "bacd", "abcde", "ab", "ba", "zz", "aabb", "abab"]
     want = [("abcd", "abdc"), ("abcd", "bacd"), ("abcd", "abcde"), ("ab", "ba"), ("aabb", "abab")]
