@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes that :func:`byte_counts` counts at once.
+SLICE = 1 << 20
+
 
 def word_counts(df: DataFrame, word: Column, weight: Column | None = None) -> DataFrame:
     """``word``, ``cnt``: summed weights; a missing weight, or one below 1, counts as 1; empty words don't count."""
@@ -60,8 +63,10 @@ def entropy_bytes(counts: DataFrame, context: list[str] | None = None) -> DataFr
 def byte_counts(df: DataFrame, column: str, order: int = 0) -> DataFrame:
     """``prev``, ``cur``, ``cnt``: counts of each UTF-8 byte after the ``order`` bytes before it, in hexadecimal; no ``prev`` for order 0.
 
-    Texts are counted by NumPy within Arrow batches; what is shuffled are a batch's counts.
+    Texts are counted by NumPy in slices of :data:`SLICE` bytes, however many an Arrow batch
+    has; what is shuffled are a slice's counts.
     """
+    kind = (np.uint8, np.uint16, np.uint32, np.uint32)[order] if order < 4 else np.int64
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -69,15 +74,18 @@ def byte_counts(df: DataFrame, column: str, order: int = 0) -> DataFrame:
             if not len(texts):
                 continue
             at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-            if len(data) <= order:
-                continue
-            text = np.repeat(np.arange(len(texts)), np.diff(at))
-            codes = np.zeros(len(data) - order, np.int64)
-            for k in range(order + 1):
-                codes = (codes << 8) | data[k : len(data) - order + k]
-            code, n = np.unique(codes[text[order:] == text[: len(text) - order]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            for start in range(at[0] + order, at[-1], SLICE):
+                n = min(SLICE, at[-1] - start)
+                codes = data[start - order : start - order + n].astype(kind)
+                for k in range(1, order + 1):
+                    codes <<= 8
+                    codes |= data[start - order + k : start - order + k + n]
+                within = np.ones(n, bool)  # no code reaches back over the start of its text
+                for first in at[np.searchsorted(at, start - order, "right") : np.searchsorted(at, start + n)] - start:
+                    within[max(first, 0) : max(first + order, 0)] = False
+                code, times = np.unique(codes[within], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(times, pa.int64())], ["code", "n"])
 
     counts = df.select(F.col(column)).mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("cnt"))
     cur = F.lpad(F.hex(F.col("code").bitwiseAND(F.lit(255))), 2, "0").alias("cur")

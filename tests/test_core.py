@@ -4,10 +4,13 @@ import os
 import random
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skarn.functions import scalar as S
 from skarn.operators import dictionary as D
@@ -240,6 +243,49 @@ def test_byte_counts(spark):
         assert {(r.prev if order else "", r.cur): r.cnt for r in T.byte_counts(df, "t", order).collect()} == want
 
 
+class Caught(Exception):
+    """Carries the function that a step gives to ``mapInArrow``."""
+
+
+class Frame:
+    """In place of a table, to have that function."""
+
+    schema = StructType().add("k", "long")
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):
+        raise Caught(function)
+
+
+def peak_bytes(step, batch):
+    """Most bytes that Python and NumPy hold at once while a step takes one batch, and the rows of what it yields."""
+    with pytest.raises(Caught) as caught:
+        step(Frame())
+    tracemalloc.start()
+    try:
+        sizes = [b.num_rows for b in caught.value.args[0](iter([batch]))]
+        return tracemalloc.get_traced_memory()[1], sizes
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("order", [0])
+def test_byte_counts_in_slices(spark, monkeypatch, order):
+    texts = pa.RecordBatch.from_arrays([pa.array(["ab" * 2000, None, "", "xyz"] * 4000)], ["t"])  # 16 MB in one batch
+    peak, _ = peak_bytes(lambda df: T.byte_counts(df, "t", order), texts)
+    assert peak < 48 << 20
+    own = ["abab", "é", None, "", "b", "abcabcabd", "a", "bc"] * 3
+    df = spark.createDataFrame([(t,) for t in own], "t string").coalesce(1)
+    want = rows(T.byte_counts(df, "t", order))
+    total = sum(max(len((t or "").encode()) - order, 0) for t in own)
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(T, "SLICE", size)
+        got = rows(T.byte_counts(df, "t", order))
+        assert got == want and sum(r[-1] for r in got) == total
+
+
 def test_lookup_of_repeated_keys_is_an_error(spark):
     left, side = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string")
     with pytest.raises(Exception, match="several answers"):
