@@ -12,22 +12,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Hits that :func:`word_hits` holds at once.
+HITS = 1 << 16
+
 
 def word_hits(texts: DataFrame, key: str, column: str, patterns: dict[int, str]) -> DataFrame:
     """``key``, ``pid``, ``pos``, ``byte_pos``: every place of every pattern, overlapping ones included.
 
     Texts without any pattern are told by one scan; the others are searched for each of
-    their patterns, behind one hit after the other. Patterns may repeat under several ids;
-    empty ones and null texts have no hits.
+    their patterns, behind one hit after the other. Hits are handed on :data:`HITS` at a
+    time, however many a text has. Patterns may repeat under several ids; empty ones and
+    null texts have no hits.
     """
     words = {i: p for i, p in patterns.items() if p}
     kind = texts.schema[key].dataType.simpleString()
     anywhere = re.compile("|".join(re.escape(p) for p in sorted(set(words.values()), key=len)) or "(?!)")
 
+    def taken(keys: pa.Array, hits: tuple[list, ...]) -> pa.RecordBatch:
+        row, *rest = (pa.array(x, t) for x, t in zip(hits, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True))
+        for x in hits:
+            x.clear()
+        return pa.RecordBatch.from_arrays([keys.take(row), *rest], [key, "pid", "pos", "byte_pos"])
+
     def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            row, pid, pos, byte = [], [], [], []
-            for k, text in enumerate(b.column(1).to_pylist()):
+            hits = row, pid, pos, byte = [], [], [], []
+            for k, cell in enumerate(b.column(1)):
+                text = cell.as_py()
                 if not text or not anywhere.search(text):
                     continue
                 plain = text.isascii()
@@ -41,9 +52,10 @@ def word_hits(texts: DataFrame, key: str, column: str, patterns: dict[int, str])
                         pid.append(i)
                         pos.append(at + 1)
                         byte.append(at if plain else size)
+                        if len(row) == HITS:
+                            yield taken(b.column(0), hits)
                         at = text.find(p, at + 1)
-            columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(pid, pa.int32()), pa.array(pos, pa.int64()), pa.array(byte, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [key, "pid", "pos", "byte_pos"])
+            yield taken(b.column(0), hits)
 
     return texts.select(key, column).mapInArrow(found, f"`{key}` {kind}, pid int, pos long, byte_pos long")
 

@@ -286,6 +286,17 @@ def test_byte_counts_in_slices(spark, monkeypatch, order):
         assert got == want and sum(r[-1] for r in got) == total
 
 
+def test_hits_in_bounded_batches(spark, monkeypatch):
+    texts = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(["ab" * 500] * 499 + ["ab" * 200_000])], ["k", "t"])
+    peak, sizes = peak_bytes(lambda df: P.word_hits(df, "k", "t", {0: "ab", 1: "b"}), texts)
+    assert sum(sizes) == 2 * (499 * 500 + 200_000) and max(sizes) <= 1 << 16 and peak < 24 << 20
+    df = spark.createDataFrame([(1, "ababa"), (2, "éaéa"), (3, None), (4, "aaaa")], "k long, t string").coalesce(1)
+    want = rows(P.word_hits(df, "k", "t", {0: "a", 1: "ba", 2: "a"}))
+    for most in (1, 2, 5):
+        monkeypatch.setattr(P, "HITS", most)
+        assert rows(P.word_hits(df, "k", "t", {0: "a", 1: "ba", 2: "a"})) == want
+
+
 def test_lookup_of_repeated_keys_is_an_error(spark):
     left, side = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string")
     with pytest.raises(Exception, match="several answers"):
