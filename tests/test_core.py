@@ -271,7 +271,7 @@ def peak_bytes(step, batch):
         tracemalloc.stop()
 
 
-@pytest.mark.parametrize("order", [0, 1])
+@pytest.mark.parametrize("order", [0, 1, 2])
 def test_byte_counts_in_slices(spark, monkeypatch, order):
     texts = pa.RecordBatch.from_arrays([pa.array(["ab" * 2000, None, "", "xyz"] * 4000)], ["t"])  # 16 MB in one batch
     peak, _ = peak_bytes(lambda df: T.byte_counts(df, "t", order), texts)
