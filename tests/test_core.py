@@ -271,7 +271,7 @@ def peak_bytes(step, batch):
         tracemalloc.stop()
 
 
-@pytest.mark.parametrize("order", [0, 1, 2])
+@pytest.mark.parametrize("order", [0, 1, 2, 4])
 def test_byte_counts_in_slices(spark, monkeypatch, order):
     texts = pa.RecordBatch.from_arrays([pa.array(["ab" * 2000, None, "", "xyz"] * 4000)], ["t"])  # 16 MB in one batch
     peak, _ = peak_bytes(lambda df: T.byte_counts(df, "t", order), texts)
@@ -284,6 +284,9 @@ def test_byte_counts_in_slices(spark, monkeypatch, order):
         monkeypatch.setattr(T, "SLICE", size)
         got = rows(T.byte_counts(df, "t", order))
         assert got == want and sum(r[-1] for r in got) == total
+        if order:
+            sizes = [rows(T.entropy_bytes(c, ["prev"])) for c in (T.byte_counts(df, "t", order), spark.createDataFrame(want, "prev string, cur string, cnt long"))]
+            assert sizes[0] == sizes[1]
 
 
 def test_hits_in_bounded_batches(spark, monkeypatch):
