@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -102,6 +102,29 @@ def posting_ranges(terms: DataFrame, doc: str, most: int = 100_000) -> DataFrame
     )
 
 
+def document_postings(df: DataFrame, doc: str, column: str, most: int = 100_000) -> DataFrame:
+    """:func:`posting_ranges` of the :func:`document_terms` of one column, without a shuffled row for each term of each document.
+
+    Whole texts are dealt by ``doc`` once, so that a task has all rows of a document and knows
+    which have a text of their own: their terms are counted by range at once. Only documents
+    of several rows are told apart by their terms. A text's words are sorted within its row,
+    where a word that differs from the one before is a term's first.
+    """
+    part = F.floor(F.col(doc) / most).cast("long")
+    rows = df.where(F.col(column).isNotNull()).select(doc, column).repartitionByRange(doc)
+    counted = rows.withColumn("_rows", F.count("*").over(Window.partitionBy(doc)))
+    texts = counted.select(doc, F.when(F.col("_rows") > 1, F.col(doc)).alias("_own"), F.sort_array(F.split(F.lower(column), r"[^\p{L}\p{N}]+")).alias("_words"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.col("_words"))  # one longer than the words, so the last pair has no word
+    words = texts.select(doc, "_own", F.explode(F.arrays_zip(F.col("_words").alias("term"), before.alias("before"))).alias("w")).where("w.term <> ''")
+    first = F.when(~F.equal_null("w.term", "w.before"), F.col(doc))
+    in_task = words.groupBy("w.term", part.alias("part"), "_own").agg(
+        F.count(first).alias("df"), F.min(doc).alias("first_doc"), F.max(doc).alias("last_doc"), F.count("*").alias("hits")
+    )
+    return in_task.groupBy("term", "part").agg(
+        F.sum(F.when(F.col("_own").isNull(), F.col("df")).otherwise(1)).alias("df"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"), F.sum("hits").alias("hits")
+    )
+
+
 def range_lookup(points: DataFrame, at: str, ranges: DataFrame, start: str, end: str, width: int, take: list[str]) -> DataFrame:
     """Columns ``take`` of the range [start, end) that each point lies in: an equi-join on cells, then the test.
 

@@ -102,7 +102,7 @@ WORD_ROWS = "(SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\pL\\pN]
 SELECT term, CAST(doc_id // 100000 AS BIGINT) AS part, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, min(doc_id) AS first_doc, max(doc_id) AS last_doc, CAST(count(*) AS BIGINT) AS hits
 FROM {WORD_ROWS} WHERE term <> '' GROUP BY 1, 2""")
 def text_postings(t):
-    return E.posting_ranges(E.document_terms(t("documents"), "doc_id", ["text"]), "doc_id")
+    return E.document_postings(t("documents"), "doc_id", "text")
 
 
 @query(f"""

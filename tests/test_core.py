@@ -300,6 +300,37 @@ def test_hits_in_bounded_batches(spark, monkeypatch):
         assert rows(P.word_hits(df, "k", "t", {0: "a", 1: "ba", 2: "a"})) == want
 
 
+def test_postings_of_texts(spark):
+    texts = [(1, "A a b"), (1, "a c"), (2, None), (2, "b b"), (None, "a"), (None, "a z"), (7, ""), (100_001, "a-a"), (5, "é É x1"), (8, "b")]
+    df = spark.createDataFrame(texts, "k long, t string").repartition(3)
+    columns = ["term", "part", "df", "first_doc", "last_doc", "hits"]
+    want = E.posting_ranges(E.document_terms(df, "k", ["t"]), "k").select(columns).collect()
+    got = E.document_postings(df, "k", "t").select(columns).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and ("b", 0, 3, 1, 8, 4) in map(tuple, got)
+
+
+def test_postings_shuffle_less_than_a_row_a_term(spark, tmp_path):
+    from skarn.plans import registry
+
+    docs = [(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(80))) for i in range(400)]  # 32,000 terms of documents, 90 different ones
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = registry.queries()["text_postings"](spark, str(tmp_path))
+    assert found.count() == 90
+    found.collect()
+    seen, todo = [], [found._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            seen.append(node.metrics().apply("shuffleRecordsWritten").value())
+    assert seen and sum(seen) < 5_000
+
+
 def test_lookup_of_repeated_keys_is_an_error(spark):
     left, side = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string")
     with pytest.raises(Exception, match="several answers"):
