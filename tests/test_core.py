@@ -297,7 +297,10 @@ def test_hits_in_bounded_batches(spark, monkeypatch):
     want = rows(P.word_hits(df, "k", "t", {0: "a", 1: "ba", 2: "a"}))
     for most in (1, 2, 5):
         monkeypatch.setattr(P, "HITS", most)
-        assert rows(P.word_hits(df, "k", "t", {0: "a", 1: "ba", 2: "a"})) == want
+        hits = P.word_hits(df, "k", "t", {0: "a", 1: "ba", 2: "a"})
+        assert rows(hits) == want
+        by_doc = hits.groupBy("pid", "k").agg(F.count("*").alias("n"))  # a document's hits come in several batches
+        assert rows(by_doc.groupBy("pid").agg(F.sum("n"), F.count("*"))) == [(0, 9, 3), (1, 2, 1), (2, 9, 3)]
 
 
 def test_postings_of_texts(spark):
