@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from skarn.llm.shared import kept
+
 #: Bytes of text worked on at once, and words remembered per generation (two are kept).
 SLICE_BYTES, REMEMBERED = 4_000_000, 300_000
 
@@ -48,15 +50,14 @@ class ForcedBoundaryBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
-        self.path, self.end, self.vocab = path, model["end_of_word_suffix"] or "", model["vocab"]
-        self.merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        vocab = spec["model"]["vocab"]
+        self.path, self.end = path, spec["model"]["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = [""] * (1 + max([*self.vocab.values(), *self.special.values()]))
-        for token, i in [*self.vocab.items(), *self.special.items()]:
+        self.tokens = [""] * (1 + max([*vocab.values(), *self.special.values()]))
+        for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         #: Byte pairs inside tokens; between any other two bytes a cut is certain.
-        self.inside = {pair for w in self.vocab for t in [w.removesuffix(self.end)] for pair in zip(t, t[1:])}
+        self.inside = {pair for w in vocab for t in [w.removesuffix(self.end)] for pair in zip(t, t[1:])}
         self.joined = re.compile("|".join(re.escape(t) for t in self.special) or "(?!)")
         self.table = {i: c for i, c in enumerate(byte_chars())}
         self.new: dict[str, bytes] = {}
@@ -70,17 +71,17 @@ class ForcedBoundaryBPE:
 
     @functools.cached_property
     def final(self):
-        """Merges of fragments that end a word."""
-        from tokenizers.models import BPE
-
-        return BPE(self.vocab, self.merges, end_of_word_suffix=self.end or None)
+        """Merges of fragments that end a word: the library's own model, not a copy of it."""
+        return self.library.model
 
     @functools.cached_property
     def inner(self):
         """Merges of fragments inside a word: no symbol has the word's end."""
         from tokenizers.models import BPE
 
-        return BPE(self.vocab, self.merges)
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        return BPE(model["vocab"], [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]])
 
     def fragments(self, word: str) -> list[str]:
         """A word in byte characters, cut where no token has the pair."""
@@ -172,7 +173,7 @@ class ForcedBoundaryBPE:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-@functools.cache
+@kept
 def encoder(path: str) -> ForcedBoundaryBPE:
-    """One encoder per worker process and vocabulary."""
+    """One encoder per worker process and vocabulary, until the worker turns to another operator."""
     return ForcedBoundaryBPE(path)

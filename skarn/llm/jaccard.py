@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.shared import join_groups, single_rows, sized_join, slices, trim, written
+from skarn.llm.shared import drop_kept, join_groups, single_rows, sized_join, slices, trim, written
 
 WORDS, THRESHOLD = 5, 0.8
 #: MinHash values are BANDS * ROWS; a pair at the threshold meets in no band with probability (1 - 0.8 ** 5) ** 32 < 3e-6.
@@ -105,6 +105,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
     import hashlib
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for part in slices(it):
             names, hashes = [], []
             for s in shingle_sets(part.column(2), n):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.shared import fresh, join_groups, slices, trim, written
+from skarn.llm.shared import drop_kept, fresh, join_groups, slices, trim, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information a term may give away; characters a term needs.
@@ -132,6 +132,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield rows(2, {"term": part, "docs": [held[w] for w in part]})
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         held: Counter = Counter()
         for b in slices(it):
             base: dict[str, list] = {c: [] for c in ("row_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "spans")}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +120,23 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
             first = after
 
 
+_forget: list[Callable[[], None]] = []
+
+
+def kept(f: Callable) -> Callable:
+    """``f`` with its results kept between the tasks of a Python worker, until :func:`drop_kept`."""
+    f = functools.cache(f)
+    _forget.append(f.cache_clear)
+    return f
+
+
+def drop_kept() -> None:
+    """For the start of a task: a worker that served another operator before lets go of what that one kept."""
+    for forget in _forget:
+        forget()
+    trim()
+
+
 def trim() -> None:
     """Gives memory that a task has freed back to the machine; workers outlive their tasks."""
     import ctypes

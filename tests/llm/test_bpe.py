@@ -29,3 +29,24 @@ def test_forced_boundaries_are_certain():
         parts = coder.fragments(word)
         assert "".join(parts) == word
         assert all((a[-1], b[0]) not in coder.inside for a, b in zip(parts, parts[1:]))
+
+
+def test_other_operators_drop_the_encoder(spark):
+    from skarn.llm.bpe import encoder
+    from skarn.llm.jaccard import signatures
+    from skarn.llm.pii import scanned
+
+    class Task:
+        """Stands for a table: gives the function that a worker would run."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):  # noqa: N802
+            return f
+
+    for task in (signatures(Task(), "doc_id", "text", 5), scanned(Task(), "doc_id", "text")):
+        assert encoder(VOCABULARY).looked_up(["a"])
+        assert encoder.cache_info().currsize == 1
+        list(task(iter([])))
+        assert encoder.cache_info().currsize == 0
